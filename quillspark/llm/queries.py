@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, decontaminate, digest, langid, sharding, token_scan
+from quillspark.llm import bpe, decontaminate, digest, langid, minhash, sharding, token_scan
 
 #: The rank file of op1 and op5, by its name in the installed package of public tokenizers.
 RANKS, SEPARATOR = "byte_bpe_multi_50k.tiktoken", 50256
@@ -26,6 +26,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_check(table(spark, sf_dir, "documents").select("doc_id", "text"), public_ranks())
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_token_counts(table(spark, sf_dir, "documents"), public_ranks(), SEPARATOR)
 
@@ -48,7 +52,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op5_token_counts, op6_decontamination, op8_sharding, op9_language_id, op10_fingerprints]
+    found = [op1_byte_bpe, op3_near_duplicates, op5_token_counts, op6_decontamination, op8_sharding, op9_language_id, op10_fingerprints]
     return {f.__name__: f for f in found}
 
 
