@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, digest, langid, minhash, sharding, token_scan
+from quillspark.llm import bpe, decontaminate, digest, langid, line_dedup, minhash, sharding, token_scan
 
 #: The rank file of op1 and op5, by its name in the installed package of public tokenizers.
 RANKS, SEPARATOR = "byte_bpe_multi_50k.tiktoken", 50256
@@ -26,6 +27,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_check(table(spark, sf_dir, "documents").select("doc_id", "text"), public_ranks())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -52,7 +58,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op3_near_duplicates, op5_token_counts, op6_decontamination, op8_sharding, op9_language_id, op10_fingerprints]
+    found = [op1_byte_bpe, op2_line_dedup, op3_near_duplicates, op5_token_counts, op6_decontamination, op8_sharding, op9_language_id, op10_fingerprints]
     return {f.__name__: f for f in found}
 
 
