@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, digest, langid, line_dedup, minhash, sharding, token_scan
+from quillspark.llm import bpe, decontaminate, digest, langid, line_dedup, minhash, mixing_lm, ordinal, sharding, token_scan
 
 #: The rank file of op1 and op5, by its name in the installed package of public tokenizers.
 RANKS, SEPARATOR = "byte_bpe_multi_50k.tiktoken", 50256
@@ -36,6 +36,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_token_counts(table(spark, sf_dir, "documents"), public_ranks(), SEPARATOR)
 
@@ -45,6 +49,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
@@ -58,7 +66,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_byte_bpe, op2_line_dedup, op3_near_duplicates, op5_token_counts, op6_decontamination, op8_sharding, op9_language_id, op10_fingerprints]
+    found = [op1_byte_bpe, op2_line_dedup, op3_near_duplicates, op4_lm_score, op5_token_counts, op6_decontamination, op7_quality, op8_sharding, op9_language_id, op10_fingerprints]
     return {f.__name__: f for f in found}
 
 

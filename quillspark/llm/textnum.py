@@ -31,7 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse."""
     if len(_POWERS["up"]) < n:
         size = max(n, 1 << 20)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
@@ -43,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each slice ``values[start:end]``, from one prefix sum modulo 2**64."""
-    up, down = _powers(len(values) + 1)
+    up, down = powers(len(values) + 1)
     prefix = np.zeros(len(values) + 1, _U)
     np.cumsum(values * up[: len(values)], out=prefix[1:])
     out = prefix[ends] - prefix[starts]
