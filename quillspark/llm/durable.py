@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -41,3 +42,12 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows (or list entries) that a broadcast side may have: about 20 MB.
+BROADCAST_ROWS = 600_000
+
+
+def light(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A durable table of counted size as the broadcast side of a join, or as it is (a shuffled join) above the bound."""
+    return F.broadcast(df) if rows <= most else df

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.llm.components import components
-from quillspark.llm.durable import durable
+from quillspark.llm.durable import durable, light
 from quillspark.llm.textnum import Words, mix, pieces, raw, signed, span_hashes
 
 DISTANCE = 3
@@ -125,12 +125,29 @@ def edits(a: str, b: str) -> int:
     return score
 
 
+def _common(a: str, b: str, end: bool) -> int:
+    """Length of the common beginning (or end) of two texts, by bisection."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        k = (low + high + 1) // 2
+        if a[len(a) - k :] == b[len(b) - k :] if end else a[:k] == b[:k]:
+            low = k
+        else:
+            high = k - 1
+    return low
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Edit similarity of two normal forms."""
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < similarity * longer:
         return False
-    return a == b or 1 - edits(a, b) / longer >= similarity - 1e-12
+    if a == b:
+        return True
+    first = _common(a, b, False)
+    a, b = a[first:], b[first:]
+    last = _common(a, b, True)
+    return 1 - edits(a[: len(a) - last], b[: len(b) - last]) / longer >= similarity - 1e-12
 
 
 def block_keys(column: str, large: bool) -> str:
@@ -142,32 +159,8 @@ def block_keys(column: str, large: bool) -> str:
     return f"flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> {one})))"
 
 
-def _partnered(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sim) sorted by key: the hashes that another hash of their bucket is close to."""
-    rest_key, rest_sim = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def close(key: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        sim, found, at, step = sim.view(_U), np.zeros(len(key), bool), np.arange(len(key)), 1
-        while True:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                break
-            near = at[np.bitwise_count(sim[at] ^ sim[at + step]) <= distance]
-            found[near] = found[near + step] = True
-            step += 1
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(sim[found]).view(np.int64))], ["sim"])
-
-    for batch in batches:
-        key, sim = np.concatenate((rest_key, batch.column("key").to_numpy())), np.concatenate((rest_sim, batch.column("sim").to_numpy()))
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-        yield close(key[:cut], sim[:cut])
-        rest_key, rest_sim = key[cut:], sim[cut:]
-    yield close(rest_key, rest_sim)
-
-
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (some for whole in batches for some in pieces(whole)):
         out = []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = (text or "").split("\n")
@@ -175,25 +168,77 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["line_hash", "sim", "form"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sim, line_hash, form) sorted by key: links that join each bucket's groups."""
-    key = None
-    group: list[tuple[int, int, str, int]] = []  # (component, SimHash, form, line hash) of the open bucket
+def _near_pairs(key: np.ndarray, sim: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in a key's bucket whose hashes are close, all pairs of one step at a time."""
+    sim, at, step = sim.view(_U), np.arange(len(key)), 1
+    while True:
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            return
+        near = at[np.bitwise_count(sim[at] ^ sim[at + step]) <= distance]
+        if len(near):
+            yield near, near + step
+        step += 1
+
+
+def _partnered(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, sim) sorted by key: the hashes that another hash of their bucket is close to."""
+    for rows in _whole_buckets(batches):
+        key, sim = rows.column("key").to_numpy(), rows.column("sim").to_numpy()
+        found = np.zeros(len(key), bool)
+        for a, b in _near_pairs(key, sim, distance):
+            found[a] = found[b] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(sim[found]))], ["sim"])
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key, cut between keys."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif held and held[-1].column("key")[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float, large: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, sim, line_hash, form) sorted by key: links that join each bucket's groups.
+
+    A pair that agrees in several blocks is verified in the bucket of the first one.
+    """
+    for rows in _whole_buckets(batches):
+        key, sim, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "sim", "line_hash", "size"))
+        forms = rows.column("form").combine_chunks()
+        block = (key >> 16 if not large else key >> 30).astype(_U)
+        bits = sim.view(_U)
+        up = list(range(len(key)))
         found: list[tuple[int, int]] = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "sim", "line_hash", "form")), strict=True):
-            if row[0] != key:
-                key, group = row[0], []
-            own = row[2]
-            comps: dict[int, int] = {}
-            for comp, sim, form, line_hash in group:
-                if comp not in comps and ((sim ^ row[1]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= distance and alike(form, row[3], similarity):
-                    comps[comp] = line_hash
-            found += [(h, row[2]) for h in comps.values()]
-            if comps:
-                own = min(comps)
-                group = [(own if g[0] in comps else g[0], *g[1:]) for g in group] if len(comps) > 1 else group
-            group.append((own, row[1], row[3], row[2]))
+        for a, b in _near_pairs(key, sim, distance):
+            differ = bits[a] ^ bits[b]
+            first = np.ones(len(a), bool)
+            for k in range(3):
+                first &= (block[a] <= k) | (((differ >> _U(16 * k)) & _U(0xFFFF)) != 0)
+            first &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                x, y = i, j
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                if x != y and alike(forms[i].as_py(), forms[j].as_py(), similarity):
+                    found.append((int(ids[i]), int(ids[j])))
+                    up[y] = x
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -210,23 +255,28 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, line_hash long, sim long")
 
 
+def _entries(df: DataFrame, column: str) -> int:
+    """Entries of all lists of a column."""
+    return df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+
+
 def fuzzy_links(docs: DataFrame, forms: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) of line hashes; ``forms`` has line_hash, sim and one occurrence (doc_id, line) of each normal form."""
     hashes = forms.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
     large = hashes.count() > LARGE
     keys = hashes.select(F.explode(F.expr(block_keys("sim", large))).alias("key"), "sim").repartition("key").sortWithinPartitions("key")
     suspects = keys.mapInArrow(lambda it: _partnered(it, distance), "sim long").unionByName(hashes.filter("n > 1").select("sim")).distinct()
-    wanted = forms.join(suspects, "sim", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_hash", "sim")).alias("wanted"))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    found = durable(texts.select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, form string"), "forms")
-    dealt = found.select(F.explode(F.expr(block_keys("sim", large))).alias("key"), "sim", "line_hash", "form").repartition("key").sortWithinPartitions("key", F.length("form"), "line_hash")
-    return dealt.mapInArrow(lambda it: _verified(it, distance, similarity), "a long, b long").distinct()
+    wanted = durable(forms.join(suspects, "sim", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_hash", "sim")).alias("wanted")), "wanted")
+    texts = docs.select("doc_id", "text").join(light(wanted, _entries(wanted, "wanted")), "doc_id")
+    found = durable(texts.select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, form string"), "texts")
+    dealt = found.select(F.explode(F.expr(block_keys("sim", large))).alias("key"), "sim", "line_hash", F.length("form").alias("size"), "form").repartition("key").sortWithinPartitions("key", "size", "line_hash")
+    return dealt.mapInArrow(lambda it: _verified(it, distance, similarity, large), "a long, b long").distinct()
 
 
 def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, lines): the numbers of the lines to drop, for documents that lose any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = durable(line_table(docs).distinct(), "lines")
+    lines = durable(line_table(docs), "lines")
     forms = lines.groupBy("line_hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
     forms = durable(forms.select("line_hash", "sim", "n", "first.doc_id", "first.line"), "forms")
     groups = components(fuzzy_links(docs, forms, distance, similarity))
@@ -258,10 +308,10 @@ def _rewritten(batches: Iterator[pa.RecordBatch], plain: pa.Schema, at: int) ->
 def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with its text rewritten, and the columns n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped", "__lines")
-    dropped = repeated_lines(docs, distance, similarity).withColumnRenamed("doc_id", "__doc").withColumnRenamed("lines", "__lines")
+    dropped = durable(repeated_lines(docs, distance, similarity).withColumnRenamed("doc_id", "__doc").withColumnRenamed("lines", "__lines"), "dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     plain, at = to_arrow_schema(schema), docs.columns.index("text")
-    both = docs.join(durable(dropped, "dropped"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    both = docs.join(light(dropped, _entries(dropped, "__lines") // 4), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     return both.mapInArrow(lambda it: _rewritten(it, plain, at), schema)
 
 
