@@ -9,9 +9,12 @@ probability 0.9996, above 0.85 with more than 0.99998.
 Texts with equal sets are one node before banding. In each table bucket, members
 are first compared along a tree (member i with member i & (i-1)), a number of
 pairs that is linear in the bucket. Buckets whose members are then in more than
-one component are opened again: all their pairs that cross components and that
-can reach the threshold by size become candidates, each in the first table
-that the pair shares. So no candidate is skipped whose link could matter, and
+one component are opened again, three times: first the member nearest to the
+bucket's consensus meets all others, then each member outside the largest
+component meets the one it agrees with most, and at last all remaining pairs
+that cross components become candidates, each in the first table that the pair
+shares. A candidate must be able to reach the threshold by size, and agree in
+``AGREE`` of the 72 minhashes. So no candidate is skipped whose link could matter, and
 pairs inside a component are never listed. Buckets of any size are cut into
 blocks of bounded size.
 
@@ -23,6 +26,7 @@ have an empty set and link with nothing; rows with one doc_id are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.durable import durable
+from quillspark.llm.durable import durable, light
 from quillspark.llm.textnum import LOWER, Words, joined, mix, pieces, raw, signed
 
 SIDE, ROWS = 12, 3
 BLOCK = 4096
+#: Of its 72 minhashes, a pair must agree in so many before its texts are fetched (at a similarity of 0.8, all but 0.0001 do).
+AGREE = 44
 _U = np.uint64
 _FACTORS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=_U)) | _U(1)
 _LOWER = LOWER.tobytes()
@@ -71,8 +77,8 @@ def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else grams[:0]), np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
 
 
-def _keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """U and V keys, one row of 2 * SIDE for each non-empty text."""
+def _keys(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """U and V keys (2 * SIDE) and a byte of each minhash, one row for each non-empty text."""
     some = np.flatnonzero(np.diff(bounds))
     least = np.empty((2 * SIDE * ROWS, len(some)), _U)
     if len(some):
@@ -80,11 +86,12 @@ def _keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         for k, factor in enumerate(_FACTORS):
             np.multiply(shingles, factor, out=work)
             np.minimum.reduceat(work, starts, out=least[k])
+    sketch = (mix(least) & _U(255)).astype(np.uint8).view(np.int8)
     least = least.reshape(2 * SIDE, ROWS, -1)
     keys = np.zeros((2 * SIDE, len(some)), _U)
     for r in range(ROWS):
         keys = mix(keys * _U(0x9E3779B97F4A7C15) + least[:, r] + _U(r))
-    return keys.T
+    return keys.T, sketch.T
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -93,7 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
             shingles, bounds = _sets(Words(*raw(batch.column("text"))), size)
             n = np.diff(bounds)
             some = np.flatnonzero(n)
-            keys = _keys(shingles, bounds)
+            keys, sketch = _keys(shingles, bounds)
             h = np.zeros((2, batch.num_rows), _U)
             if len(some):
                 h[0, some] = np.add.reduceat(mix(shingles), bounds[:-1][some])
@@ -101,7 +108,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
             ends = np.zeros(batch.num_rows + 1, np.int32)
             ends[1:] = np.cumsum(np.where(n > 0, SIDE, 0))
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.ascontiguousarray(keys[:, k : k + SIDE]).reshape(-1)))) for k in (0, SIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(signed(h[0])), pa.array(signed(h[1])), *lists], ["doc_id", "n", "h1", "h2", "u", "v"])
+            lists.append(pa.ListArray.from_arrays(pa.array(ends * (2 * ROWS)), pa.array(np.ascontiguousarray(sketch).reshape(-1))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(signed(h[0])), pa.array(signed(h[1])), *lists], ["doc_id", "n", "h1", "h2", "u", "v", "sketch"])
 
 
 _MEMBERS = ["key", "t", "id", "n", "parent"]
@@ -150,21 +158,52 @@ def _trees(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         last_key, kept, seen = key[-1], chain, end + 1
 
 
-def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of blocks: left rows against right rows of another component, in the first table that they share."""
+def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    plain = [rows.column(c).to_numpy() for c in ("side", "id", "n", "comp", "in_big")]
+    flat = [np.concatenate([np.asarray(c.flatten()) for c in rows.column(x).chunks]).reshape(rows.num_rows, -1) for x in ("u", "v", "sketch")]
+    return *plain, np.hstack(flat[:2]), flat[2]
+
+
+def _hub_pairs(rows: pa.Table, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The member nearest to the bucket's consensus (each key's commonest value) with all members of other components."""
+    _, ids, n, comp, _, _, keys = _columns(rows)
+    score = np.zeros(len(ids), np.int32)
+    for column in keys.T:
+        values, place, counts = np.unique(column, return_inverse=True, return_counts=True)
+        score += place == np.argmax(counts)
+    x = int(np.argmax(score))
+    ok = np.flatnonzero((comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+    ok = ok[(keys[ok] == keys[x]).sum(1) >= AGREE]
+    return [(np.full(len(ok), ids[x]), ids[ok])] if len(ok) else []
+
+
+def _left_pairs(rows: pa.Table, percent: int, best: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each left row with the right rows of other components: the one that agrees most, or all in the first table they share."""
+    side, ids, n, comp, big, keys, sketch = _columns(rows)
+    right, found = np.flatnonzero(side == 1), []
+    rk, rs, rn, rc, rid, rb = keys[right], sketch[right], n[right], comp[right], ids[right], big[right]
+    i, j = divmod(int(rows.column("t")[0].as_py()), SIDE)
+    for x in np.flatnonzero(side == 0).tolist():
+        ok = np.flatnonzero((rc != comp[x]) & (rb | (rid > ids[x]) | best) & (100 * np.minimum(rn, n[x]) >= percent * np.maximum(rn, n[x])))
+        if not len(ok):
+            continue
+        agree = (rs[ok] == sketch[x]).sum(1)
+        if best:
+            ok = ok[[np.argmax(agree)]] if agree.max() >= AGREE else ok[:0]
+        else:
+            ok = ok[agree >= AGREE]
+            same = rk[ok] == keys[x]
+            ok = ok[~same[:, :i].any(1) & ~same[:, SIDE : SIDE + j].any(1)]
+        if len(ok):
+            found.append((np.full(len(ok), ids[x]), rid[ok]))
+    return found
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], percent: int, way: str) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of blocks of rows that are sorted by key, x and y."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        get = lambda c: rows.column(c).to_numpy()
-        side, ids, n, comp, big, t = get("side"), get("id"), get("n"), get("comp"), get("in_big"), int(rows.column("t")[0].as_py())
-        u, v = (np.concatenate([np.asarray(c.flatten()) for c in rows.column(x).chunks]).reshape(len(ids), SIDE) for x in ("u", "v"))
-        right, found = np.flatnonzero(side == 1), []
-        ru, rv, rn, rc, rid, rb = u[right], v[right], n[right], comp[right], ids[right], big[right]
-        i, j = divmod(t, SIDE)
-        for x in np.flatnonzero(side == 0).tolist():
-            ok = np.flatnonzero((rc != comp[x]) & (rb | (rid > ids[x])) & (100 * np.minimum(rn, n[x]) >= percent * np.maximum(rn, n[x])))
-            ok = ok[~((ru[ok, :i] == u[x, :i]).any(1) | (rv[ok, :j] == v[x, :j]).any(1))]
-            if len(ok):
-                found.append((np.full(len(ok), ids[x]), rid[ok]))
+        found = _hub_pairs(rows, percent) if way == "hub" else _left_pairs(rows, percent, way == "best")
         if found:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
         return None
@@ -199,41 +238,57 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar."""
-    used = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = durable(docs.join(used.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+    used = durable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "used")
+    texts = durable(docs.join(light(used, used.count()), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return durable(both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long"), "links")
 
 
+def _open_blocks(members: DataFrame, found: DataFrame, way: str) -> DataFrame:
+    """Buckets of more than two members in several components, as blocks (x, y) of at most ``BLOCK`` left and right rows.
+
+    Right are all members, left those outside the bucket's largest component; the way "hub" needs right rows only.
+    """
+    labels = found.select(F.col("child").alias("id"), F.col("root").alias("comp"))
+    placed = members.select("key", "t", "id", "n").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    opened = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1 and all > 2")
+    blocks = placed.join(opened, "key").withColumn("in_big", F.col("comp") == F.col("big"))
+    xs, ys = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    own = F.abs(F.xxhash64("id") % (1 << 30))
+    columns = ["key", "t", "id", "n", "comp", "in_big"]
+    if way == "hub":
+        return blocks.select(*columns, F.lit(1).alias("side"), F.lit(0).alias("x"), (own % ys).cast("int").alias("y"))
+    left = blocks.filter(~F.col("in_big")).select(*columns, F.lit(0).alias("side"), (own % xs).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), ys - 1)).alias("y"))
+    right = blocks.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), xs - 1)).alias("x"), (own % ys).cast("int").alias("y"))
+    return left.unionByName(right)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over confirmed links), kept; one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = durable(docs.mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n long, h1 long, h2 long, u array<long>, v array<long>"), "signatures")
-    sets = durable(marked.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("u").alias("u"), F.any_value("v").alias("v")), "sets")
+    marked = durable(docs.mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n long, h1 long, h2 long, u array<long>, v array<long>, sketch array<tinyint>"), "signatures")
+    sets = durable(marked.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("u").alias("u"), F.any_value("v").alias("v"), F.any_value("sketch").alias("sketch")), "sets")
     tables = f"flatten(transform(u, (x, i) -> transform(v, (y, j) -> struct(xxhash64(x, y, i, j) as key, i * {SIDE} + j as t))))"
     rows = sets.select("id", "n", F.explode(F.expr(tables)).alias("k")).select("k.key", "k.t", "id", "n")
     dealt = rows.repartition("key").sortWithinPartitions("key", "id")
     members = durable(dealt.mapInArrow(lambda it: _trees(it, percent), "key long, t int, id long, n long, parent long"), "buckets")
     tried = members.filter("parent is not null and parent <> id").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b")).distinct()
-    tried = durable(tried, "pairs")
+    keys = sets.select("id", "sketch")
+    tried = tried.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b").filter(f"size(filter(zip_with(ka, kb, (x, y) -> x = y), z -> z)) >= {AGREE}")
+    tried = durable(tried.select("a", "b"), "pairs")
     links = _confirmed(tried, docs, shingle, percent)
     found = components(links)
-    labels = found.select(F.col("child").alias("id"), F.col("root").alias("comp"))
-    placed = members.select("key", "t", "id", "n").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    opened = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    blocks = placed.join(opened, "key").withColumn("in_big", F.col("comp") == F.col("big"))
-    xs, ys = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
-    own = F.abs(F.xxhash64("id") % (1 << 30))
-    left = blocks.filter(~F.col("in_big")).select("key", "t", "id", "n", "comp", "in_big", F.lit(0).alias("side"), (own % xs).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), ys - 1)).alias("y"))
-    right = blocks.select("key", "t", "id", "n", "comp", "in_big", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), xs - 1)).alias("x"), (own % ys).cast("int").alias("y"))
-    crossing = left.unionByName(right).join(sets.select("id", "u", "v"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    more = crossing.mapInArrow(lambda it: _crossing(it, percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = durable(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        second = _confirmed(more, docs, shingle, percent)
-        if not second.isEmpty():
-            found = components(found.select(F.col("child").alias("a"), F.col("root").alias("b")).unionByName(second))
+    for way in ("hub", "best", "all"):
+        blocks = _open_blocks(members, found, way).join(sets.select("id", "u", "v", "sketch"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        more = blocks.mapInArrow(partial(_crossing, percent=percent, way=way), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = durable(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        links = _confirmed(more, docs, shingle, percent)
+        if not links.isEmpty():
+            found = components(found.select(F.col("child").alias("a"), F.col("root").alias("b")).unionByName(links))
     labels = found.select(F.col("child").alias("id"), F.col("root").alias("component_id"))
     by_set = sets.select("n", "h1", "h2", "id").join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("component_id", "id").alias("component_id"))
     joined_rows = marked.select("doc_id", "n", "h1", "h2").join(by_set, ["n", "h1", "h2"], "left")
@@ -244,4 +299,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows of documents that are not the least of their component."""
     dropped = near_duplicates(docs, shingle, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(durable(dropped, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    dropped = durable(dropped, "dropped")
+    return docs.join(light(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
