@@ -33,6 +33,8 @@ from quillspark.llm.textnum import pieces
 
 SHORT = 32
 CACHE = 500_000
+#: Bytes of text at a time, so that many new pieces are encoded side by side.
+PIECE = 1 << 20
 _NONE = np.int64(1 << 62)
 
 
@@ -239,7 +241,7 @@ def _run(docs: DataFrame, ranks: Ranks, fields: list[T.StructField], rows) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(key, shared.value)
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, limit=PIECE):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 out = [rows(encoder, ids) for ids in encoder.encode(texts)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[k] for r in out], f.type) for k, f in enumerate(own)]], schema=plain)

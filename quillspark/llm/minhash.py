@@ -227,7 +227,7 @@ def _crossing(batches: Iterator[pa.RecordBatch], percent: int, way: str) -> Iter
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     last, mine = None, set()
-    for batch in batches:
+    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
         a, b, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
         for k in range(batch.num_rows):
             if a[k] != last:

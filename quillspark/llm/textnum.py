@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 1 << 20
+LIMIT = 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
@@ -34,7 +34,7 @@ _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse."""
     if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, _U)
             steps[0] = 1

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import Ranks, worker_encoder
+from quillspark.llm.bpe import PIECE, Ranks, worker_encoder
 from quillspark.llm.durable import durable
 from quillspark.llm.textnum import pieces
 
@@ -106,7 +106,7 @@ def write_flat(docs: DataFrame, ranks: Ranks, separator: int, kind: str = "<u2",
             held, size = [body[to:]], len(body) - to
 
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, limit=PIECE):
                 ids = batch.column("doc_id")
                 for tokens in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
                     held += [tokens.astype(kind).tobytes(), end]
