@@ -14,9 +14,13 @@ bucket's consensus meets all others, then each member outside the largest
 component meets the one it agrees with most, and at last all remaining pairs
 that cross components become candidates, each in the first table that the pair
 shares. A candidate must be able to reach the threshold by size, and agree in
-``AGREE`` of the 72 minhashes. So no candidate is skipped whose link could matter, and
-pairs inside a component are never listed. Buckets of any size are cut into
-blocks of bounded size.
+``AGREE`` of the 72 minhashes. In the last round the members of a block also bring
+the ``LOWEST`` least hashes of their sets: a pair of sets that fit in is decided in
+the block (unlike pairs end there, of like ones only a forest goes on), a pair of
+larger sets ends there if its estimate is ``SIGMAS`` deviations below the threshold.
+All that goes on is confirmed on the texts. So no candidate is skipped whose link
+could matter, and pairs inside a component are never listed. Buckets of any size
+are cut into blocks of bounded size.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z; a text of
 fewer words than a shingle, but not none, is one shingle; null and empty texts
@@ -41,6 +45,8 @@ SIDE, ROWS = 12, 3
 BLOCK = 4096
 #: Of its 72 minhashes, a pair must agree in so many before its texts are fetched (at a similarity of 0.8, all but 0.0001 do).
 AGREE = 44
+#: Least 32-bit hashes that stand for a set in the last round, and deviations of an estimate from them that end a pair.
+LOWEST, SIGMAS = 512, 5
 _U = np.uint64
 _FACTORS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=_U)) | _U(1)
 _LOWER = LOWER.tobytes()
@@ -177,25 +183,92 @@ def _hub_pairs(rows: pa.Table, percent: int) -> list[tuple[np.ndarray, np.ndarra
     return [(np.full(len(ok), ids[x]), ids[ok])] if len(ok) else []
 
 
-def _left_pairs(rows: pa.Table, percent: int, best: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each left row with the right rows of other components: the one that agrees most, or all in the first table they share."""
+def _best_pairs(rows: pa.Table, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each left row with the right row of another component that agrees most."""
+    side, ids, n, comp, _, _, sketch = _columns(rows)
+    right, found = np.flatnonzero(side == 1), []
+    rs, rn, rc, rid = sketch[right], n[right], comp[right], ids[right]
+    for x in np.flatnonzero(side == 0).tolist():
+        ok = np.flatnonzero((rc != comp[x]) & (100 * np.minimum(rn, n[x]) >= percent * np.maximum(rn, n[x])))
+        if len(ok):
+            agree = (rs[ok] == sketch[x]).sum(1)
+            if agree.max() >= AGREE:
+                found.append((ids[[x]], rid[ok[[np.argmax(agree)]]]))
+    return found
+
+
+def _lowest(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The least ``LOWEST`` hashes of each text's set, as numbers of 32 bits."""
+    for whole in batches:
+        for batch in pieces(whole):
+            shingles, bounds = _sets(Words(*raw(batch.column("text"))), size)
+            n = np.diff(bounds)
+            taken = np.minimum(n, LOWEST)
+            ends = np.concatenate(([0], np.cumsum(taken)))
+            at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], taken)
+            low = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((shingles[at] >> _U(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), low], ["id", "n", "low"])
+
+
+class _Lows:
+    """Compares a row's least hashes with those of many others."""
+
+    def __init__(self, lists: pa.ChunkedArray, n: np.ndarray, percent: int):
+        flat = lists.combine_chunks()
+        values, self.sizes = flat.flatten().to_numpy(), flat.value_lengths().to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.known, self.n, self.percent = self.sizes > 0, n, percent
+        names, codes = np.unique(values, return_inverse=True)
+        self.codes = codes.reshape(-1).astype(np.int32)  # in the order of the hashes
+        self.mark = np.zeros(len(names), bool)
+        self.whole = n <= LOWEST
+        self.most = np.where(self.whole, len(names), -1)  # the greatest code that a row would list
+        cut = np.flatnonzero(~self.whole & self.known)
+        self.most[cut] = self.codes[self.first[cut] + self.sizes[cut] - 1]
+
+    def verdicts(self, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(similar for sure, open) of x with each of ``others``."""
+        unknown = ~(self.known[others] & self.known[x])
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        theirs = self.codes[np.arange(ends[-1]) + np.repeat(self.first[others] - (ends - sizes), sizes)]
+        own = self.codes[self.first[x] : self.first[x] + self.sizes[x]]
+        most = np.minimum(self.most[others], self.most[x])
+        inside = theirs <= np.repeat(most, sizes)
+        self.mark[own] = True
+        hits = self.mark[theirs] & inside
+        self.mark[own] = False
+        sums = [np.diff(np.concatenate(([0], np.cumsum(c)))[np.concatenate(([0], ends))]) for c in (hits, inside)]
+        both, union = sums[0], np.searchsorted(own, most, "right") + sums[1] - sums[0]
+        exact = self.whole[others] & self.whole[x]
+        limit = self.percent / 100
+        far = limit - np.where(exact, 0, SIGMAS * np.sqrt(limit * (1 - limit) / np.maximum(union, 1)))
+        # equal 32-bit numbers of unequal shingles can only raise ``both``: one less must do for a sure link
+        sure = exact & ~unknown & (100 * (both - 1) >= self.percent * (union + 1))
+        return sure, unknown | (~sure & (both + 1e-9 >= far * union))
+
+
+def _all_pairs(rows: pa.Table, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each left row with the right rows of other components, in the first table they share; sure links join components at once."""
     side, ids, n, comp, big, keys, sketch = _columns(rows)
+    lows = _Lows(rows.column("low"), n, percent)
     right, found = np.flatnonzero(side == 1), []
-    rk, rs, rn, rc, rid, rb = keys[right], sketch[right], n[right], comp[right], ids[right], big[right]
+    rk, rs, rn, rid, rb = keys[right], sketch[right], n[right], ids[right], big[right]
+    kinds, code = np.unique(comp, return_inverse=True)
+    label = np.arange(len(kinds))
     i, j = divmod(int(rows.column("t")[0].as_py()), SIDE)
     for x in np.flatnonzero(side == 0).tolist():
-        ok = np.flatnonzero((rc != comp[x]) & (rb | (rid > ids[x]) | best) & (100 * np.minimum(rn, n[x]) >= percent * np.maximum(rn, n[x])))
+        ok = np.flatnonzero((label[code[right]] != label[code[x]]) & (rb | (rid > ids[x])) & (100 * np.minimum(rn, n[x]) >= percent * np.maximum(rn, n[x])))
+        ok = ok[(rs[ok] == sketch[x]).sum(1) >= AGREE]
+        same = rk[ok] == keys[x]
+        ok = ok[~same[:, :i].any(1) & ~same[:, SIDE : SIDE + j].any(1)]
         if not len(ok):
             continue
-        agree = (rs[ok] == sketch[x]).sum(1)
-        if best:
-            ok = ok[[np.argmax(agree)]] if agree.max() >= AGREE else ok[:0]
-        else:
-            ok = ok[agree >= AGREE]
-            same = rk[ok] == keys[x]
-            ok = ok[~same[:, :i].any(1) & ~same[:, SIDE : SIDE + j].any(1)]
-        if len(ok):
-            found.append((np.full(len(ok), ids[x]), rid[ok]))
+        sure, left_open = lows.verdicts(x, right[ok])
+        other, one_each = np.unique(label[code[right[ok[sure]]]], return_index=True)
+        label[np.isin(label, other)] = label[code[x]]
+        ok = np.concatenate((ok[sure][one_each], ok[left_open]))
+        found.append((np.full(len(ok), ids[x]), rid[ok]))
     return found
 
 
@@ -203,7 +276,7 @@ def _crossing(batches: Iterator[pa.RecordBatch], percent: int, way: str) -> Iter
     """Candidate pairs of blocks of rows that are sorted by key, x and y."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        found = _hub_pairs(rows, percent) if way == "hub" else _left_pairs(rows, percent, way == "best")
+        found = {"hub": _hub_pairs, "best": _best_pairs, "all": _all_pairs}[way](rows, percent)
         if found:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
         return None
@@ -264,6 +337,15 @@ def _open_blocks(members: DataFrame, found: DataFrame, way: str) -> DataFrame:
     return left.unionByName(right)
 
 
+def _with_lowest(blocks: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``blocks`` with the least hashes of their members, from the texts of these members only."""
+    held = durable(blocks, "blocks")
+    used = durable(held.select(F.col("id").alias("doc_id")).distinct(), "used")
+    texts = docs.join(light(used, used.count()), "doc_id", "left_semi").select("doc_id", "text")
+    low = durable(texts.mapInArrow(lambda it: _lowest(it, size), "id long, n long, low array<long>").dropDuplicates(["id", "n"]), "lowest")
+    return held.join(low, ["id", "n"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over confirmed links), kept; one row for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -280,7 +362,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = _confirmed(tried, docs, shingle, percent)
     found = components(links)
     for way in ("hub", "best", "all"):
-        blocks = _open_blocks(members, found, way).join(sets.select("id", "u", "v", "sketch"), "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        blocks = _open_blocks(members, found, way).join(sets.select("id", "u", "v", "sketch"), "id")
+        if way == "all":
+            blocks = _with_lowest(blocks, docs, shingle)
+        blocks = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
         more = blocks.mapInArrow(partial(_crossing, percent=percent, way=way), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = durable(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():

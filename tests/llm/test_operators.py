@@ -334,3 +334,24 @@ def test_pipeline_stages(spark, docs, texts, tmp_path):
     want = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in got.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
     assert 20 not in want and 0 in want and not {1, 2, 3, 4, 5, 8} & set(want)
+
+
+@pytest.mark.parametrize("most", [30, 400])
+def test_least_hashes_end_only_unlike_pairs(most):
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(most)]
+    texts = ["", "one", *(" ".join(w if draw.random() > cut else f"x{draw.random()}" for w in base[: draw.randint(most // 2, most)]) for cut in (0, 0.02, 0.05, 0.1, 0.3) for _ in range(12))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    sets = [minhash.shingle_set(t, 2) for t in texts]
+    try:
+        minhash.LOWEST, before = 100, minhash.LOWEST
+        rows = pa.Table.from_batches(minhash._lowest(iter([batch]), 2))
+        lows = minhash._Lows(rows.column("low"), rows.column("n").to_numpy(), 80)
+        others = np.arange(2, len(texts))
+        for x in range(2, len(texts)):
+            sure, left_open = lows.verdicts(x, others)
+            like = np.array([minhash.similar(sets[x], sets[y], 80) for y in others])
+            assert not (like & ~sure & ~left_open).any() and not (sure & ~like).any()
+            assert most > 100 or (left_open & ~like).sum() == 0
+    finally:
+        minhash.LOWEST = before
