@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillspark.llm.durable import bound_batches
 from quillspark.llm.textnum import pieces
 
 SHORT = 32
@@ -233,6 +234,7 @@ _FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 
 def _run(docs: DataFrame, ranks: Ranks, fields: list[T.StructField], rows) -> DataFrame:  # noqa: ANN001
     docs = docs.drop(*[f.name for f in fields])
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key, schema = shared._jbroadcast.id(), T.StructType([*docs.schema.fields, *fields])
     plain = to_arrow_schema(schema)

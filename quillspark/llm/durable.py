@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
+#: Bytes of a Parquet row group, and of a batch that goes to Python, and rows that a Parquet reader holds at once: 10,000 texts can be long ones.
+ROW_GROUP = 16 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20, "spark.sql.parquet.columnarReaderBatchSize": 1024}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where it is unset (tests on one machine) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,15 +36,25 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's batches by bytes too, where a setting is still Spark's own or larger."""
+    for key, value in _BATCHES.items():
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= value:
+            spark.conf.set(key, str(value))
+
+
 def durable(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Later reads survive the loss of any executor, prune columns, and never compute ``df`` again.
-    The files are removed when the driver's Python ends.
+    The files are removed when the driver's Python ends. Memory for row groups and for batches
+    between the JVM and Python is bounded by bytes, not by rows alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    bound_batches(spark)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
