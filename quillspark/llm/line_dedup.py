@@ -4,8 +4,7 @@ Lines (split at ``\\n``) are normalised: A-Z become a-z, digits become 0, runs o
 other ASCII signs separate words, words are joined by one blank. Lines without a
 word are layout and always stay. Lines of one normal form are one node. Two
 nodes are linked if their 64-bit SimHashes over words differ in at most
-``DISTANCE`` (3) bits, those over pairs of neighbouring words (which see the order of
-words) in at most ``ORDER_DISTANCE`` (22) bits, and the edit similarity of the normal forms,
+``DISTANCE`` (3) bits and the edit similarity of the normal forms,
 1 - edits / longer length, is at least ``SIMILARITY`` (0.8). Of each connected
 group the first occurrence stays, by doc_id and line number.
 
@@ -38,7 +37,7 @@ from quillspark.llm.durable import durable, light
 from quillspark.llm.textnum import Words, mix, pieces, raw, signed, span_hashes
 
 DISTANCE = 3
-#: Lines of one edit similarity of 0.8 and few changed words lie far below; unrelated lines of the same common words differ in about 32.
+#: No link depends on it: for comparison in tests only, as is order_hashes.
 ORDER_DISTANCE = 22
 SIMILARITY = 0.8
 #: Above so many different hashes, keys of two blocks are used.
@@ -113,8 +112,8 @@ def normal_form(line: str) -> str:
     return " ".join(filter(None, plain.split(" ")))
 
 
-def edits(a: str, b: str) -> int:
-    """Levenshtein distance, a column of bits at a time (Myers' method on Python integers)."""
+def edits(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, a column of bits at a time (Myers' method on Python integers); if above ``most``, any number above it."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -124,6 +123,7 @@ def edits(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     mask, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = mask, 0
+    left, most = len(b), len(a) + len(b) if most is None else most
     for c in b:
         eq = where.get(c, 0)
         x = eq | down
@@ -133,6 +133,9 @@ def edits(a: str, b: str) -> int:
             score += 1
         if minus & top:
             score -= 1
+        left -= 1
+        if score - left > most:  # each column to come lowers it by one at most
+            return score - left
         plus, minus = (plus << 1 | 1) & mask, (minus << 1) & mask
         up, down = minus | (mask & ~(x | plus)), plus & x
     return score
@@ -163,7 +166,36 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     first = _common(a, b, False)
     a, b = a[first:], b[first:]
     last = _common(a, b, True)
-    return 1 - edits(a[: len(a) - last], b[: len(b) - last]) / longer >= similarity - 1e-12
+    most = int((1 - similarity + 1e-12) * longer)
+    return edits(a[: len(a) - last], b[: len(b) - last], most) <= most
+
+
+class Grams:
+    """Counts of pairs of neighbouring signs in normal forms: an edit changes at most four of them."""
+
+    KINDS = 256
+
+    def __init__(self, forms: pa.Array):
+        texts = forms.to_pylist()
+        size = np.array([len(t) for t in texts], np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        kind = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(24)
+        owner = np.repeat(np.arange(len(size)), size)
+        inside = owner[1:] == owner[:-1]
+        self.size = size
+        self.counts = np.bincount(owner[:-1][inside] * self.KINDS + kind[inside], minlength=len(size) * self.KINDS).reshape(-1, self.KINDS).astype(np.int32)
+
+    def may_be_alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """False only for pairs of places that are too many edits apart."""
+        most = np.floor((1 - similarity + 1e-12) * np.maximum(self.size[a], self.size[b]))
+        changed = [np.abs(self.counts[a[k : k + 8192]] - self.counts[b[k : k + 8192]]).sum(axis=1) for k in range(0, len(a), 8192)]
+        return np.concatenate([np.zeros(0, np.int64), *changed]) <= 4 * most
+
+
+def _root(up: list[int], x: int) -> int:
+    while up[x] != x:
+        up[x] = x = up[up[x]]
+    return x
 
 
 def block_keys(column: str, large: bool) -> str:
@@ -237,7 +269,7 @@ def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: floa
         key, sim, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "sim", "line_hash", "size"))
         forms = rows.column("form").combine_chunks()
         block = (key >> 16 if not large else key >> 30).astype(_U)
-        bits, order = sim.view(_U), order_hashes(forms)
+        bits, grams = sim.view(_U), Grams(forms)
         up = list(range(len(key)))
         found: list[tuple[int, int]] = []
         for a, b in _near_pairs(key, sim, distance):
@@ -245,14 +277,11 @@ def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: floa
             first = np.ones(len(a), bool)
             for k in range(3):
                 first &= (block[a] <= k) | (((differ >> _U(16 * k)) & _U(0xFFFF)) != 0)
-            first &= np.bitwise_count(order[a] ^ order[b]) <= ORDER_DISTANCE
             first &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
-            for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
-                x, y = i, j
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                while up[y] != y:
-                    up[y] = y = up[up[y]]
+            a, b = a[first], b[first]
+            open_ = grams.may_be_alike(a, b, similarity)
+            for i, j in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+                x, y = _root(up, i), _root(up, j)
                 if x != y and alike(forms[i].as_py(), forms[j].as_py(), similarity):
                     found.append((int(ids[i]), int(ids[j])))
                     up[y] = x

@@ -199,6 +199,29 @@ def test_large_blocks_give_the_same_links(docs, monkeypatch):
     assert sorted(map(tuple, line_dedup.repeated_lines(docs.select("doc_id", "text")).selectExpr("doc_id", "array_sort(lines)").collect()), key=repr) == small
 
 
+def test_lines_of_other_word_order(spark):
+    """Equal words in another order: SimHash over words sees no difference, edit similarity alone decides."""
+    lines = ["the an library association bulletin", "the library an association bulletin", "alpha beta gamma delta", "delta gamma beta alpha"]
+    assert line_dedup.alike(*lines[:2]) and not line_dedup.alike(*lines[2:])
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
+    assert [got[k].n_dropped for k in range(4)] == [0, 1, 0, 0]
+
+
+def test_gram_counts_end_only_unlike_pairs():
+    rng = random.Random(6)
+    texts = []
+    for n in [1, 2, 5, 9, 64, 130, 400]:
+        base = [rng.choice("abcdé 語") for _ in range(n)]
+        for rate in (0.0, 0.1, 0.2, 0.25, 0.4, 1.0):
+            more = (x for c in base for x in (rng.choice([[], [c, "x"], ["y"]]) if rng.random() < rate else [c]))
+            texts.append("".join(more) or "z")
+    a, b = np.array([(i, j) for i in range(len(texts)) for j in range(i)]).T
+    may = line_dedup.Grams(pa.array(texts)).may_be_alike(a, b, 0.8)
+    whole = [line_dedup.edits(texts[i], texts[j]) <= (0.2 + 1e-12) * max(len(texts[i]), len(texts[j])) for i, j in zip(a, b, strict=True)]
+    assert whole == [line_dedup.alike(texts[i], texts[j]) for i, j in zip(a, b, strict=True)]
+    assert all(may[k] for k, same in enumerate(whole) if same) and 10 < sum(whole) < may.sum() < len(may)
+
+
 def test_edits():
     rng = random.Random(4)
     for _ in range(200):
