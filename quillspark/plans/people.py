@@ -41,18 +41,45 @@ def aliases(*sources: DataFrame) -> DataFrame:
     return rows.groupBy("person_id", "key").agg(F.min(F.btrim("alias_name")).alias("alias_name"), ordered_set(F.col("source")).alias("alias_sources")).drop("key")
 
 
-def resolve_authors(authors: DataFrame, people: DataFrame, known_aliases: DataFrame, least: float = 0.8) -> DataFrame:
-    """authors (author_name, author_orcid, ...) with person_id and matched_by: ORCID, else a display name or alias that one person alone has."""
+def name_candidates(x: Column) -> Column:
+    """Forms of a name to look up, in order: as given, with plain dashes and single blanks, and both of "Last, First" swapped; lower case."""
+
+    def plain(y: Column) -> Column:
+        return F.btrim(F.regexp_replace(F.regexp_replace(y, r"[\u2010-\u2015\u2212\u00ad]", "-"), r"\s+", " "))
+
+    def swapped(y: Column) -> Column:
+        parts = F.filter(F.transform(F.split(y, ","), lambda part: F.btrim(part)), lambda part: part != "")
+        return F.when(F.size(parts) >= 2, F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
+
+    given = F.btrim(x)
+    forms = F.array(given, plain(given), swapped(given), plain(swapped(given)), swapped(plain(given)))
+    return F.array_distinct(F.filter(F.transform(forms, lambda f: F.lower(f)), lambda f: f.isNotNull() & (f != "")))
+
 
-    def unique(rows: DataFrame, name: str) -> DataFrame:
-        keyed = rows.select(text.match_name(F.col(name)).alias("name_key"), "person_id").filter("name_key <> ''").distinct()
-        return keyed.groupBy("name_key").agg(F.count(F.lit(1)).alias("n"), F.min("person_id").alias("found")).filter("n = 1").drop("n")
+def fits_person(candidate: Column, display_name: Column, least: float) -> Column:
+    """Equal last words, equal first letters, and a name similarity of ``least`` or more."""
+    x, y = (F.split(text.match_name(text.ascii_fold(n)), " ") for n in (candidate, display_name))
+    first = F.left(F.get(x, F.lit(0)), F.lit(1)) == F.left(F.get(y, F.lit(0)), F.lit(1))
+    return (F.element_at(x, -1) != "") & (F.element_at(x, -1) == F.element_at(y, -1)) & first & (text.name_similarity(candidate, display_name) >= least)
 
+
+def resolve_authors(authors: DataFrame, people: DataFrame, known_aliases: DataFrame, least: float = 0.8) -> DataFrame:
+    """authors (author_name, author_orcid, ...) with person_id and matched_by: ORCID, else a display name or alias that one person alone has.
+
+    Names are looked up by each of :func:`name_candidates` in turn, display names before aliases; the
+    candidate must fit the person's display name (:func:`fits_person`), else the next one is tried.
+    """
     by_orcid = people.select(text.normalize_orcid(F.col("orcid")).alias("o"), "person_id").filter("o is not null").groupBy("o").agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("by_orcid")).filter("n = 1").drop("n")
-    rows = authors.withColumn("o", text.normalize_orcid(F.col("author_orcid"))).withColumn("name_key", text.match_name(F.col("author_name"))).join(by_orcid, "o", "left")
-    rows = rows.join(unique(people, "display_name").withColumnRenamed("found", "by_name"), "name_key", "left").join(unique(known_aliases, "alias_name").withColumnRenamed("found", "by_alias"), "name_key", "left")
-    how = F.when(F.col("by_orcid").isNotNull(), "orcid").when(F.col("by_name").isNotNull(), "name").when(F.col("by_alias").isNotNull(), "alias")
-    return rows.withColumn("person_id", F.coalesce("by_orcid", "by_name", "by_alias")).withColumn("matched_by", how).drop("o", "name_key", "by_orcid", "by_name", "by_alias")
+    shown = people.select("person_id", "display_name").distinct()
+    spelled = shown.select(F.lower("display_name").alias("name_key"), "person_id", "display_name", F.lit(0).alias("kind"))
+    spelled = spelled.unionByName(known_aliases.join(shown, "person_id").select(F.lower("alias_name").alias("name_key"), "person_id", "display_name", F.lit(1).alias("kind")).distinct())
+    unique = spelled.groupBy("kind", "name_key").agg(F.count(F.lit(1)).alias("n"), F.min("person_id").alias("found"), F.min("display_name").alias("display_name")).filter("n = 1").drop("n")
+    names = authors.select(F.col("author_name").alias("wanted")).distinct().select("wanted", F.posexplode(name_candidates(F.col("wanted"))).alias("place", "name_key"))
+    fitting = names.join(unique, "name_key").filter(fits_person(F.col("name_key"), F.lower("display_name"), least))
+    by_name = top_per_group(fitting, ["wanted"], [F.col("kind"), F.col("place")]).select("wanted", "found", "kind")
+    rows = authors.withColumn("o", text.normalize_orcid(F.col("author_orcid"))).join(by_orcid, "o", "left").join(by_name, F.col("author_name") == F.col("wanted"), "left")
+    how = F.when(F.col("by_orcid").isNotNull(), "orcid").when(F.col("kind") == 0, "name").when(F.col("kind") == 1, "alias")
+    return rows.withColumn("person_id", F.coalesce("by_orcid", "found")).withColumn("matched_by", how).drop("o", "wanted", "found", "kind", "by_orcid")
 
 
 def attach_score(author: Column, author_orcid: Column, person: Column, person_orcid: Column) -> Column:

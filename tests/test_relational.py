@@ -98,3 +98,16 @@ def test_stream_replay_changes_nothing(spark, tmp_path):
     for n in (1, 2):
         refresh.merge_stream(spark, str(tmp_path / "in"), "k int, v string", load, save, ["k"], [F.col("v").desc()], {}, str(tmp_path / f"ck{n}")).awaitTermination()
         assert sorted(held["rows"]) == [(1, "c"), (2, "b")]
+
+
+def test_authors_resolve_by_candidates_that_fit(spark):
+    persons = spark.createDataFrame([(1, "Jane Doe", "0000-0002-1825-0097"), (2, "Ann Lee", None), (3, "Ann Lee", None), (4, "Max Mustermann", None), (5, "José Álvarez", None), (6, "Doe", None)], "person_id long, display_name string, orcid string")
+    known = spark.createDataFrame([(4, "The Fox"), (4, "Maxi Mustermann"), (4, "M. Mustermann"), (5, "Jose Alvarez"), (1, "X Doe"), (2, "A. Lee"), (3, "A. Lee"), (9, "Gone Person")], "person_id long, alias_name string")
+    want = {"Doe, Jane": (1, "name"), "jane  DOE": (1, "name"), "Jane Doe": (1, "name"), "Ann Lee": (None, None), "A. Lee": (None, None), "The Fox": (None, None), "X Doe": (None, None), "Mustermann, Maxi": (4, "alias"), "Jose Alvarez": (5, "alias"), "Gone Person": (None, None), "": (None, None), None: (None, None)}
+    rows = [(n, None) for n in want] + [("Nobody", "https://orcid.org/0000-0002-1825-0097")]
+    authors = spark.createDataFrame(rows, "author_name string, author_orcid string")
+    got = {x.author_name: (x.person_id, x.matched_by) for x in people.resolve_authors(authors, persons, known).collect()}
+    assert got == want | {"Nobody": (1, "orcid")}
+    loose = {x.author_name: x.person_id for x in people.resolve_authors(authors, persons, known, least=0.0).collect()}
+    strict = {x.author_name: x.person_id for x in people.resolve_authors(authors, persons, known, least=0.99).collect()}
+    assert (loose["Mustermann, Maxi"], strict["Mustermann, Maxi"], loose["The Fox"], strict["Doe, Jane"]) == (4, None, None, 1)
