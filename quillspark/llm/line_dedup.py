@@ -1,24 +1,39 @@
 """Line dedup across documents: exact and fuzzy repeats of lines keep one occurrence.
 
-Lines (split at ``\\n``) are normalised: A-Z become a-z, digits become 0, runs of
+Lines (split at ``\n``) are normalised: A-Z become a-z, digits become 0, runs of
 other ASCII signs separate words, words are joined by one blank. Lines without a
 word are layout and always stay. Lines of one normal form are one node. Two
-nodes are linked if their 64-bit SimHashes over words differ in at most
-``DISTANCE`` (3) bits and the edit similarity of the normal forms,
-1 - edits / longer length, is at least ``SIMILARITY`` (0.8). Of each connected
-group the first occurrence stays, by doc_id and line number.
-
-Candidates: four blocks of 16 bits; two hashes within 3 bits agree in a block
-(pigeonhole). In large collections each block is joined with one of four blocks
-of the other 48 bits, by the same argument, so that buckets stay small; either
-way gives the same pairs. Only hashes are dealt out at first. Lines whose
-hash has a partner are then dealt out with their text and verified, and a
-bucket gives out a spanning forest of its links, not its pairs.
+nodes are linked if the edit similarity of the normal forms, 1 - edits / longer
+length, is at least ``SIMILARITY`` (0.8). Of each connected group the first
+occurrence stays, by doc_id and line number.
+
+Candidates come from SimHashes by blocks. Block c of a line's hash is the 64-bit
+SimHash of those of its words whose hash falls into share c of 2**j shares, so a
+changed word touches two blocks at most, and of two lines that differ in k words
+all blocks but 2k agree (pigeonhole). Lines of ``SHORT`` (24) words or more use so
+many shares that each holds three to six words, the first ``SHARES`` (8) of them,
+and those of 0.8 times as many words too; shorter lines use 8 shares, joined in
+neighbouring pairs. Lines that agree in a block are candidates if the SimHashes
+over all their words are within ``DISTANCE`` (20) of 64 bits. Only hashes are
+dealt out at first. Lines whose hash has a partner are then dealt out with their
+text and verified by edits, and a bucket gives out a spanning forest of its
+links, not its pairs. Buckets above ``BLOCK`` lines are cut into blocks: links
+inside a block, then between the blocks' first lines, and at last, for keys whose
+lines are still in several groups, all pairs of blocks.
+
+Which pairs are found: every link given out is verified, but pairs of which each
+block holds a changed word are missed (README has the measured recall: lines of
+few words, and lines with a changed letter in nearly every word).
 
 Defined cases: a null or empty text has no lines with words and stays as it is; a
 document all of whose lines with words were dropped has an empty ``text``
-(:func:`drop_repeated_lines` leaves such documents out); rows with one doc_id
-count as one document, and equal rows of it lose the same lines.
+(:func:`drop_repeated_lines` leaves such documents out); rows with one doc_id and
+one text count as one document and lose the same lines, rows with one doc_id and
+different texts are documents of their own; a null doc_id comes first; ties go to
+the least text hash; an
+empty table gives an empty result; a long text is read by its lines, in pieces,
+so memory follows its longest line; ``docs`` may have any other columns, of which
+only n_lines and n_dropped are replaced (by :func:`dedup_lines`).
 """
 
 from __future__ import annotations
@@ -27,21 +42,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.llm.components import components
 from quillspark.llm.durable import durable, light
-from quillspark.llm.textnum import Words, mix, pieces, raw, signed, span_hashes
+from quillspark.llm.textnum import LIMIT, Words, mix, pieces, raw, signed, span_hashes
 
-DISTANCE = 3
-#: No link depends on it: for comparison in tests only, as is order_hashes.
-ORDER_DISTANCE = 22
+#: Bits of the SimHash over a whole line in which candidates may differ.
+DISTANCE = 20
 SIMILARITY = 0.8
-#: Above so many different hashes, keys of two blocks are used.
-LARGE = 1 << 24
+#: Words from which a line's blocks stand alone, words in a block at least, blocks of a line at most.
+SHORT, LEAST, SHARES = 24, 3, 8
+#: Lines of one bucket that meet in one task.
+BLOCK = 4096
+#: One line in so many is counted to find the buckets above BLOCK.
+COUNTED = 16
+_CACHE_BITS = 18
 _U = np.uint64
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[48:58] = 48
@@ -80,31 +99,95 @@ def _sim_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_hashes(forms: pa.Array) -> np.ndarray:
-    """SimHash of each normal form over pairs of neighbouring words, the last with the first."""
-    data, offsets = raw(forms)
-    words = Words(data, offsets, _WORD)
-    hashes = span_hashes(_NORMAL_VALUES[data], words.starts, words.ends)
-    following = np.append(hashes[1:], _U(0))
-    following[words.bounds[1:] - 1] = hashes[words.bounds[:-1]]
-    return _sim_hashes(mix(hashes * _U(0x9E3779B97F4A7C15) + following), words.bounds)
+def _blocks(line: np.ndarray, share: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words sorted by line and share: line, share, SimHash and word count of each block."""
+    first = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (share[1:] != share[:-1]))))
+    edges = np.concatenate((first, [len(line)]))
+    return line[first], share[first], _sim_hashes(feature, edges), np.diff(edges)
+
+
+def _level(words: np.ndarray) -> np.ndarray:
+    """Log of the number of shares of lines of so many words; 0: a short line."""
+    return np.where(words < SHORT, 0, np.log2(np.maximum(words, SHORT) / LEAST).astype(np.int64))
+
+
+def _block_keys(line: np.ndarray, place: np.ndarray, feature: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of all blocks; words come sorted by line and ``place``, 40 bits that say the share."""
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    level = _level(words)
+    lower = _level(np.ceil(words * SIMILARITY))  # a line that has lost words may have fewer shares
+    for at, use in ((level, level > 0), (lower, (lower > 0) & (lower != level))):
+        share = (place >> (40 - at[line]).astype(_U)).astype(np.int64)
+        chosen = use[line] & (share < SHARES)
+        if chosen.any():
+            of, share, sim, size = _blocks(line[chosen], share[chosen], feature[chosen])
+            full = size >= LEAST
+            lines.append(of[full])
+            keys.append(mix(sim[full] + (share[full] + 64 * at[of[full]]).astype(_U) * _U(0x9E3779B97F4A7C15)))
+    short = (level == 0) | (lower == 0)
+    chosen = short[line]
+    if chosen.any():
+        of, share, sim, size = _blocks(line[chosen], (place[chosen] >> _U(37)).astype(np.int64), feature[chosen])
+        rows = np.flatnonzero(short)
+        row = np.searchsorted(rows, of)
+        sims, sizes = np.zeros((len(rows), 8), _U), np.zeros((len(rows), 8), np.int64)
+        sims[row, share], sizes[row, share] = sim, size
+        least = np.maximum(2, 0.15 * words[rows])
+        for a in range(8):
+            b = (a + 1) % 8
+            full = sizes[:, a] + sizes[:, b] >= least
+            lines.append(rows[full])
+            keys.append(mix(mix(sims[full, a] + _U(a)) + sims[full, b]))
+    return np.concatenate(lines), np.concatenate(keys)
 
 
 class LineBatch:
-    """The lines with words of a batch of texts: text and line number, normal form's hash, SimHash."""
+    """The lines with words of texts: text and line number, normal form's hash, SimHash, and the keys of the blocks."""
 
-    def __init__(self, column: pa.Array):
-        data, offsets = raw(column)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, first_line = _lines(data, offsets)
         edges = np.concatenate((starts, [len(data)]))
-        words = Words(data, edges, _WORD)
-        hashes = span_hashes(_NORMAL_VALUES[data], words.starts, words.ends)
-        full = np.flatnonzero(words.counts)
-        bounds = np.concatenate((words.bounds[full], [len(words)]))
-        self.line_hash = span_hashes(hashes, bounds[:-1], bounds[1:]) if len(full) else np.zeros(0, _U)
-        self.sim_hash = _sim_hashes(hashes, bounds) if len(full) else np.zeros(0, _U)
+        found = Words(data, edges, _WORD)
+        hashes = span_hashes(_NORMAL_VALUES[data], found.starts, found.ends)
+        full = np.flatnonzero(found.counts)
+        bounds, words = np.concatenate((found.bounds[full], [len(found)])), found.counts[full]
         self.text = np.searchsorted(first_line, full, "right") - 1
         self.line = full - first_line[self.text]
+        self.line_hash = self.sim_hash = np.zeros(0, _U)
+        self.key_line, self.key = np.zeros(0, np.int64), np.zeros(0, _U)
+        if not len(full):
+            return
+        self.line_hash = span_hashes(hashes, bounds[:-1], bounds[1:])
+        ordered = np.sort(np.repeat(np.arange(len(full)), words).astype(_U) << _U(40) | hashes >> _U(24))
+        line, place = (ordered >> _U(40)).astype(np.int64), ordered & _U((1 << 40) - 1)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        again = np.arange(len(ordered)) - np.repeat(first, np.diff(np.concatenate((first, [len(ordered)]))))
+        feature = mix(place + _U(1) + (again.astype(_U) << _U(41)))  # a word's second occurrence is a feature of its own
+        self.sim_hash = _sim_hashes(feature, bounds)
+        self.key_line, self.key = _block_keys(line, place, feature, words)
+
+    def key_lists(self, fresh: np.ndarray) -> pa.Array:
+        """The keys of each line, none for lines that are not ``fresh``."""
+        own = fresh[self.key_line]
+        line, key = self.key_line[own], self.key[own]
+        order = np.argsort(line, kind="stable")
+        ends = np.searchsorted(line[order], np.arange(len(fresh) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(key[order])))
+
+
+def line_batches(column: pa.Array) -> Iterator[tuple[LineBatch, int]]:
+    """Line batches with the number of their first line; one long text is cut between lines."""
+    data, offsets = raw(column)
+    if len(offsets) != 2 or len(data) <= LIMIT:
+        yield LineBatch(data, offsets), 0
+        return
+    breaks = np.flatnonzero(data == 10)
+    begin = line = 0
+    while begin < len(data):
+        k = int(np.searchsorted(breaks, begin + LIMIT))
+        end = int(breaks[k]) if k < len(breaks) else len(data)
+        yield LineBatch(data[begin:end], np.array([0, end - begin])), line
+        begin, line = end + 1, k + 1
 
 
 def normal_form(line: str) -> str:
@@ -198,60 +281,62 @@ def _root(up: list[int], x: int) -> int:
     return x
 
 
-def block_keys(column: str, large: bool) -> str:
-    """SQL for the array of keys of a SimHash; equal keys of two hashes within 3 bits exist in either form."""
-    if not large:
-        return f"transform(sequence(0, 3), i -> shiftleft(cast(i as long), 16) | (shiftrightunsigned({column}, 16 * i) & 65535))"
-    turned = f"(shiftrightunsigned({column}, 16 * i) | case when i = 0 then 0L else shiftleft({column}, 64 - 16 * i) end)"
-    one = f"shiftleft(cast(4 * i + j as long), 28) | shiftleft({turned} & 65535, 12) | (shiftrightunsigned({turned}, 16 + 12 * j) & 4095)"
-    return f"flatten(transform(sequence(0, 3), i -> transform(sequence(0, 3), j -> {one})))"
-
-
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["line_hash", "sim", "keys", "form"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
     for batch in (some for whole in batches for some in pieces(whole)):
         out = []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = (text or "").split("\n")
-            out += [(w["line_hash"], w["sim"], normal_form(lines[w["line"]])) for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["line_hash", "sim", "form"])
+            out += [(w["line_hash"], w["sim"], w["keys"], normal_form(lines[w["line"]])) for w in wanted]
+        for lo in range(0, len(out), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[lo : lo + 4096]], kind) for k, kind in enumerate(kinds)], names)
 
 
-def _near_pairs(key: np.ndarray, sim: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places in a key's bucket whose hashes are close, all pairs of one step at a time."""
-    sim, at, step = sim.view(_U), np.arange(len(key)), 1
+def _near_pairs(cell: np.ndarray, sim: np.ndarray, distance: int, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of one bucket whose hashes are close, all pairs of one step at a time; pairs equal in ``done``, which the caller may change between steps, are left out."""
+    sim, at, step = sim.view(_U), np.arange(len(cell)), 1
     while True:
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
+        at = at[at + step < len(cell)]
+        at = at[cell[at] == cell[at + step]]
         if not len(at):
             return
-        near = at[np.bitwise_count(sim[at] ^ sim[at + step]) <= distance]
+        open_ = at[done[at] != done[at + step]]
+        near = open_[np.bitwise_count(sim[open_] ^ sim[open_ + step]) <= distance]
         if len(near):
             yield near, near + step
         step += 1
 
 
 def _partnered(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sim) sorted by key: the hashes that another hash of their bucket is close to."""
+    """Of rows (cell, sim) sorted by both: those that another hash of their bucket is close to."""
     for rows in _whole_buckets(batches):
-        key, sim = rows.column("key").to_numpy(), rows.column("sim").to_numpy()
-        found = np.zeros(len(key), bool)
-        for a, b in _near_pairs(key, sim, distance):
-            found[a] = found[b] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(sim[found]))], ["sim"])
+        cell, sim = rows.column("cell").to_numpy(), rows.column("sim").to_numpy()
+        first = np.concatenate(([True], (cell[1:] != cell[:-1]) | (sim[1:] != sim[:-1])))
+        cell, sim = cell[first], sim[first]
+        found = np.arange(len(cell))  # all that have a partner get the number -1
+        for a, b in _near_pairs(cell, sim, distance, found):
+            found[a] = found[b] = -1
+        yield pa.RecordBatch.from_arrays([pa.array(cell[found < 0]), pa.array(sim[found < 0])], ["key", "sim"])
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by key, cut between keys."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], once: str | None = None) -> Iterator[pa.Table]:
+    """Rows sorted by cell, cut between cells; of neighbours equal in ``once`` too, one stays in a batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        cell = batch.column("cell").to_numpy()
+        if once:
+            value = batch.column(once).to_numpy()
+            new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (value[1:] != value[:-1])))
+            if not new.all():
+                batch, cell = batch.filter(pa.array(new)), cell[new]
+        cut = int(np.searchsorted(cell, cell[-1]))  # the last bucket may go on
         if cut:
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = [batch.slice(cut)]
-        elif held and held[-1].column("key")[-1].as_py() != key[0]:
+        elif held and held[-1].column("cell")[-1].as_py() != cell[0]:
             yield pa.Table.from_batches(held)
             held = [batch]
         else:
@@ -260,45 +345,80 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float, large: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sim, line_hash, form) sorted by key: links that join each bucket's groups.
+def _padded(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of keys as rows of one width."""
+    lists = lists.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), max(1, int(sizes.max(initial=0)))), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], sizes)] = lists.flatten().to_numpy()
+    return out
+
+
+def _earlier(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Pairs of rows of keys that share a key less than the one at hand (0 is no key)."""
+    out = np.zeros(len(key), bool)
+    for k in range(0, len(key), 4096):
+        x, y, z = a[k : k + 4096], b[k : k + 4096], key[k : k + 4096]
+        out[k : k + 4096] = ((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None] & (x < z[:, None])[:, :, None]).any(axis=(1, 2))
+    return out
+
 
-    A pair that agrees in several blocks is verified in the bucket of the first one.
+def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, key, sim, line_hash, keys, size, form, comp) sorted by cell: links that join each bucket's groups.
+
+    A pair that shares several keys is verified in the bucket of the least one. Rows of one ``comp`` are joined already.
     """
-    for rows in _whole_buckets(batches):
-        key, sim, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "sim", "line_hash", "size"))
-        forms = rows.column("form").combine_chunks()
-        block = (key >> 16 if not large else key >> 30).astype(_U)
-        bits, grams = sim.view(_U), Grams(forms)
-        up = list(range(len(key)))
+    for rows in _whole_buckets(batches, "line_hash"):
+        cell, key, sim, ids, sizes, comp = (rows.column(c).to_numpy() for c in ("cell", "key", "sim", "line_hash", "size", "comp"))
+        forms, keys = rows.column("form").combine_chunks(), _padded(rows.column("keys"))
+        grams = Grams(forms)
+        order = np.lexsort((comp, cell))
+        where = np.zeros(len(cell), np.int64)  # nodes: the groups of each bucket
+        where[order[1:]] = np.cumsum((cell[order][1:] != cell[order][:-1]) | (comp[order][1:] != comp[order][:-1]))
+        up = list(range(int(where.max(initial=-1)) + 1))
+        group = where.copy()
         found: list[tuple[int, int]] = []
-        for a, b in _near_pairs(key, sim, distance):
-            differ = bits[a] ^ bits[b]
-            first = np.ones(len(a), bool)
-            for k in range(3):
-                first &= (block[a] <= k) | (((differ >> _U(16 * k)) & _U(0xFFFF)) != 0)
-            first &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
-            a, b = a[first], b[first]
-            open_ = grams.may_be_alike(a, b, similarity)
-            for i, j in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
-                x, y = _root(up, i), _root(up, j)
+        for a, b in _near_pairs(cell, sim, distance, group):
+            keep = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            a, b = a[keep], b[keep]
+            keep = ~_earlier(keys[a], keys[b], key[a])
+            a, b = a[keep], b[keep]
+            keep = grams.may_be_alike(a, b, similarity)
+            joined = False
+            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                x, y = _root(up, int(where[i])), _root(up, int(where[j]))
                 if x != y and alike(forms[i].as_py(), forms[j].as_py(), similarity):
                     found.append((int(ids[i]), int(ids[j])))
                     up[y] = x
+                    joined = True
+            if joined:
+                roots = np.array([_root(up, x) for x in range(len(up))])
+                group[:] = roots[where]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line, line_hash, sim of every line with words."""
+    """doc_id, copy, line, line_hash, sim and keys of every line with words; a line that its task has just seen again brings no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << _CACHE_BITS, _U)
         for whole in batches:
             for batch in pieces(whole):
-                found = LineBatch(batch.column("text"))
-                ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found.text]), pa.array(found.line.astype(np.int32)), pa.array(signed(found.line_hash)), pa.array(signed(found.sim_hash))], ["doc_id", "line", "line_hash", "sim"])
+                for found, first in line_batches(batch.column("text")):
+                    slot = found.line_hash >> _U(64 - _CACHE_BITS)
+                    fresh = seen[slot] != found.line_hash
+                    seen[slot] = found.line_hash
+                    once = np.zeros(len(slot), bool)
+                    once[np.unique(found.line_hash, return_index=True)[1]] = True
+                    text = pa.array(found.text)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(text), batch.column("copy").take(text), pa.array((found.line + first).astype(np.int32)), pa.array(signed(found.line_hash)), pa.array(signed(found.sim_hash)), found.key_lists(fresh & once)],
+                        ["doc_id", "copy", "line", "line_hash", "sim", "keys"],
+                    )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, line_hash long, sim long")
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, line int, line_hash long, sim long, keys array<long>")
 
 
 def _entries(df: DataFrame, column: str) -> int:
@@ -306,37 +426,88 @@ def _entries(df: DataFrame, column: str) -> int:
     return df.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
 
 
-def fuzzy_links(docs: DataFrame, forms: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) of line hashes; ``forms`` has line_hash, sim and one occurrence (doc_id, line) of each normal form."""
-    hashes = forms.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
-    large = hashes.count() > LARGE
-    keys = hashes.select(F.explode(F.expr(block_keys("sim", large))).alias("key"), "sim").repartition("key").sortWithinPartitions("key")
-    suspects = keys.mapInArrow(lambda it: _partnered(it, distance), "sim long").unionByName(hashes.filter("n > 1").select("sim")).distinct()
-    wanted = durable(forms.join(suspects, "sim", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "line_hash", "sim")).alias("wanted")), "wanted")
-    texts = docs.select("doc_id", "text").join(light(wanted, _entries(wanted, "wanted")), "doc_id")
-    found = durable(texts.select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, form string"), "texts")
-    dealt = found.select(F.explode(F.expr(block_keys("sim", large))).alias("key"), "sim", "line_hash", F.length("form").alias("size"), "form").repartition("key").sortWithinPartitions("key", "size", "line_hash")
-    return dealt.mapInArrow(lambda it: _verified(it, distance, similarity, large), "a long, b long").distinct()
-
-
-def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines to drop, for documents that lose any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _crowded(lines: DataFrame, block: int) -> DataFrame:
+    """(key, blocks) of the keys of more than about ``block`` lines, by counting one line in ``COUNTED``."""
+    counted = lines.filter(F.pmod("line_hash", F.lit(COUNTED)) == 0).select("line_hash", F.explode("keys").alias("key")).distinct()
+    sizes = counted.groupBy("key").agg((F.count(F.lit(1)) * COUNTED).alias("n")).filter(F.col("n") > block)
+    return durable(sizes.select("key", F.ceil(F.col("n") / (block // 2)).cast("int").alias("blocks")), "crowded")
+
+
+def fuzzy_links(docs: DataFrame, lines: DataFrame, forms: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of line hashes; ``forms`` has line_hash, sim and one occurrence (doc_id, copy, line) of each normal form."""
+
+    def verified(cells: DataFrame) -> DataFrame:
+        return cells.repartition("cell").sortWithinPartitions("cell", "size", "line_hash").mapInArrow(lambda it: _verified(it, distance, similarity), "a long, b long")
+
+    crowded, same = _crowded(lines, block), durable(forms.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sim"), "same")
+    n_crowded, n_same = crowded.count(), same.count()
+    dealt = lines.select(F.explode("keys").alias("key"), "sim")
+    apart, always = dealt, []
+    if n_crowded:  # all lines of a crowded bucket are candidates
+        apart = dealt.join(light(crowded, n_crowded), "key", "left_anti")
+        always.append(dealt.join(light(crowded.select("key"), n_crowded), "key", "left_semi"))
+    if n_same:  # as are lines of one SimHash
+        always.append(dealt.join(light(same, n_same), "sim", "left_semi").select("key", "sim"))
+    cells = apart.withColumnRenamed("key", "cell").repartition("cell").sortWithinPartitions("cell", "sim")
+    suspects = cells.mapInArrow(lambda it: _partnered(it, distance), "key long, sim long")
+    for more in always:
+        suspects = suspects.unionByName(more)
+    suspects = suspects.groupBy("sim").agg(F.collect_set("key").alias("keys"))
+    entry = F.struct("line", "line_hash", "sim", "keys")
+    wanted = durable(forms.select("doc_id", "copy", "line", "line_hash", "sim").join(suspects, "sim").groupBy("doc_id", "copy").agg(F.collect_list(entry).alias("wanted")), "wanted")
+    texts = docs.select(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"), "text")
+    same_row = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_copy") == F.col("copy"))
+    found = durable(texts.join(light(wanted, 4 * _entries(wanted, "wanted")), same_row).select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, keys array<long>, form string"), "texts")
+    cells = found.select(F.explode("keys").alias("key"), "sim", "line_hash", "keys", F.length("form").alias("size"), "form", F.col("line_hash").alias("comp"))
+    if not n_crowded:
+        return verified(cells.withColumn("cell", F.col("key"))).distinct()
+    return _crowded_links(cells, crowded, n_crowded, verified)
+
+
+def _crowded_links(cells: DataFrame, crowded: DataFrame, n_crowded: int, verified) -> DataFrame:  # noqa: ANN001
+    """Links where some keys are cut into blocks: inside blocks, between the first lines of a key's blocks, then between blocks whose lines are still apart."""
+    small = light(crowded, n_crowded)
+    cells = cells.join(small, "key", "left")
+    place = F.pmod(F.xxhash64("line_hash"), "blocks").cast("int")
+    many = durable(cells.filter("blocks is not null").withColumn("x", place), "many")
+    inside = cells.filter("blocks is null").withColumn("cell", F.col("key")).drop("blocks").unionByName(many.withColumn("cell", F.xxhash64("key", "x")).drop("blocks", "x"))
+    heads = many.groupBy("key", "x").agg(F.min_by(F.struct("sim", "line_hash", "keys", "size", "form", "comp"), "line_hash").alias("h")).select("key", "h.*").withColumn("cell", F.xxhash64("key", F.lit(-1)))
+    links = durable(verified(inside).unionByName(verified(heads)).distinct(), "inside")
+    groups = components(links).select(F.col("child").alias("line_hash"), F.col("root"))
+    known = durable(many.drop("comp").join(groups, "line_hash", "left").withColumn("comp", F.coalesce("root", "line_hash")).drop("root"), "grouped")
+    apart = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("x", y).alias("low"), F.greatest("x", y).alias("high")))
+    pairs = known.join(apart, "key", "left_semi").withColumn("pair", F.explode(others)).filter("pair.low <> pair.high").withColumn("cell", F.xxhash64("key", "pair.low", "pair.high"))
+    return links.unionByName(verified(pairs.drop("pair", "blocks", "x"))).distinct()
+
+
+def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, copy, lines): the numbers of the lines to drop, for documents that lose any; copy is the hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy_of("text").alias("copy"), "text")
     lines = durable(line_table(docs), "lines")
-    forms = lines.groupBy("line_hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
-    forms = durable(forms.select("line_hash", "sim", "n", "first.doc_id", "first.line"), "forms")
-    groups = components(fuzzy_links(docs, forms, distance, similarity))
+    first = F.struct("doc_id", "line", "copy")
+    forms = lines.groupBy("line_hash").agg(F.min(first).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
+    forms = durable(forms.select("line_hash", "sim", "n", "first.doc_id", "first.line", "first.copy"), "forms")
+    groups = components(fuzzy_links(docs, lines, forms, distance, similarity, block))
     linked = forms.join(groups.select(F.col("child").alias("line_hash"), F.col("root").alias("group")), "line_hash", "left").withColumn("group", F.coalesce("group", "line_hash"))
-    first = linked.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
-    known = linked.select("line_hash", "group").join(first.select("group", "first"), "group").select("line_hash", "first")
-    dropped = lines.select("doc_id", "line", "line_hash").join(known, "line_hash").filter("not (doc_id = first.doc_id and line = first.line)")
-    return dropped.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    firsts = linked.groupBy("group").agg(F.min(first).alias("first"), F.sum("n").alias("n")).filter("n > 1")
+    known = linked.select("line_hash", "group").join(firsts.select("group", "first"), "group").select("line_hash", "first")
+    dropped = lines.select("doc_id", "copy", "line", "line_hash").join(known, "line_hash").filter("not (doc_id <=> first.doc_id and line = first.line and copy = first.copy)")
+    return dropped.groupBy("doc_id", "copy").agg(F.collect_set("line").alias("lines"))
+
+
+def copy_of(text: str) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+_N_LINES, _N_DROPPED, _GONE = "__quillspark_n_lines", "__quillspark_n_dropped", "__quillspark_gone"
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch], plain: pa.Schema, at: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole):
-            texts, dropped, out = batch.column("text").to_pylist(), batch.column("__lines").to_pylist(), []
+            texts, dropped, out = batch.column("text").to_pylist(), batch.column(_GONE).to_pylist(), []
             for text, numbers in zip(texts, dropped, strict=True):
                 lines = (text or "").split("\n")
                 if not numbers:
@@ -346,21 +517,26 @@ def _rewritten(batches: Iterator[pa.RecordBatch], plain: pa.Schema, at: int) ->
                     kept = [x for k, x in enumerate(lines) if k not in gone]
                     left = "\n".join(kept) if any(_WORD[np.frombuffer(x.encode(), np.uint8)].any() for x in kept) else ""
                 out.append((left, len(lines) if text else 0, len(numbers or ())))
-            columns = [c for k, c in enumerate(batch.columns) if batch.schema.names[k] != "__lines"]
+            columns = [c for k, c in enumerate(batch.columns) if batch.schema.names[k] != _GONE]
             columns[at] = pa.array([r[0] for r in out], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], schema=plain)
 
 
-def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with its text rewritten, and the columns n_lines and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped", "__lines")
-    dropped = durable(repeated_lines(docs, distance, similarity).withColumnRenamed("doc_id", "__doc").withColumnRenamed("lines", "__lines"), "dropped")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+def _deduped(docs: DataFrame, distance: int, similarity: float) -> DataFrame:
+    dropped = durable(repeated_lines(docs, distance, similarity), "dropped")
+    dropped = dropped.select(F.col("doc_id").alias("__quillspark_doc"), F.col("copy").alias("__quillspark_copy"), F.col("lines").alias(_GONE))
+    schema = T.StructType([*docs.schema.fields, T.StructField(_N_LINES, T.LongType()), T.StructField(_N_DROPPED, T.LongType())])
     plain, at = to_arrow_schema(schema), docs.columns.index("text")
-    both = docs.join(light(dropped, _entries(dropped, "__lines") // 4), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__quillspark_doc")) & (copy_of("text") == F.col("__quillspark_copy"))
+    both = docs.join(light(dropped, _entries(dropped, _GONE) // 4), same, "left").drop("__quillspark_doc", "__quillspark_copy")
     return both.mapInArrow(lambda it: _rewritten(it, plain, at), schema)
 
 
+def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with its text rewritten, and the columns n_lines and n_dropped (in place of any of those names)."""
+    return _deduped(docs.drop("n_lines", "n_dropped"), distance, similarity).withColumnsRenamed({_N_LINES: "n_lines", _N_DROPPED: "n_dropped"})
+
+
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with rewritten texts, without documents that lost every line with words."""
-    return dedup_lines(docs).filter("n_dropped = 0 or text <> ''").select(*docs.columns)
+    """``docs`` with rewritten texts, all other columns as they were, without documents that lost every line with words."""
+    return _deduped(docs, DISTANCE, SIMILARITY).filter(f"{_N_DROPPED} = 0 or text <> ''").select(*docs.columns)

@@ -163,42 +163,6 @@ def test_components_of_a_chain(spark, monkeypatch):
     assert sorted(map(tuple, components.components(links).collect())) == [(k, 0) for k in range(1, 41)] + [(101, 100)]
 
 
-def test_line_dedup(docs, empty, texts):
-    forms: dict[str, list[tuple[int, int]]] = {}
-    for k, t in enumerate(texts):
-        for n, line in enumerate((t or "").split("\n")):
-            if form := line_dedup.normal_form(line):
-                forms.setdefault(form, []).append((k, n))
-    names = list(forms)
-    sims, order = line_dedup.LineBatch(pa.array(names)).sim_hash, line_dedup.order_hashes(pa.array(names))
-    up = list(range(len(names)))
-    find = lambda x: x if up[x] == x else find(up[x])
-    for i in range(len(names)):
-        for j in range(i):
-            if int(sims[i] ^ sims[j]).bit_count() <= line_dedup.DISTANCE and int(order[i] ^ order[j]).bit_count() <= line_dedup.ORDER_DISTANCE and line_dedup.alike(names[i], names[j]):
-                up[find(i)] = find(j)
-    first: dict[int, tuple[int, int]] = {}
-    for i, form in enumerate(names):
-        first[find(i)] = min(first.get(find(i), (10**9, 0)), *forms[form])
-    gone = {o for i, form in enumerate(names) for o in forms[form] if o != first[find(i)]}
-    got = by_id(line_dedup.dedup_lines(docs))
-    for k, t in enumerate(texts):
-        lost = {n for d, n in gone if d == k}
-        kept = [x for n, x in enumerate((t or "").split("\n")) if n not in lost]
-        want = t if not lost else "\n".join(kept) if any(map(line_dedup.normal_form, kept)) else ""
-        assert (got[k].text, got[k].n_dropped) == (want, len(lost))
-    assert got[13].text == "other words stand"
-    left = {r.doc_id for r in line_dedup.drop_repeated_lines(docs).collect()}
-    assert {4, 5, 6, 8} <= left and 1 not in left
-    assert line_dedup.dedup_lines(empty).count() == 0
-
-
-def test_large_blocks_give_the_same_links(docs, monkeypatch):
-    small = sorted(map(tuple, line_dedup.repeated_lines(docs.select("doc_id", "text")).selectExpr("doc_id", "array_sort(lines)").collect()), key=repr)
-    monkeypatch.setattr(line_dedup, "LARGE", 0)
-    assert sorted(map(tuple, line_dedup.repeated_lines(docs.select("doc_id", "text")).selectExpr("doc_id", "array_sort(lines)").collect()), key=repr) == small
-
-
 def test_lines_of_other_word_order(spark):
     """Equal words in another order: SimHash over words sees no difference, edit similarity alone decides."""
     lines = ["the an library association bulletin", "the library an association bulletin", "alpha beta gamma delta", "delta gamma beta alpha"]
