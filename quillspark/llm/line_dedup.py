@@ -7,14 +7,14 @@ nodes are linked if the edit similarity of the normal forms, 1 - edits / longer
 length, is at least ``SIMILARITY`` (0.8). Of each connected group the first
 occurrence stays, by doc_id and line number.
 
-Candidates come from SimHashes by blocks. Block c of a line's hash is the 64-bit
+Candidates come from SimHashes by blocks. Block c of a line's hash is the 32-bit
 SimHash of those of its words whose hash falls into share c of 2**j shares, so a
 changed word touches two blocks at most, and of two lines that differ in k words
 all blocks but 2k agree (pigeonhole). Lines of ``SHORT`` (24) words or more use so
 many shares that each holds three to six words, the first ``SHARES`` (8) of them,
 and those of 0.8 times as many words too; shorter lines use 8 shares, joined in
 neighbouring pairs. Lines that agree in a block are candidates if the SimHashes
-over all their words are within ``DISTANCE`` (20) of 64 bits. Only hashes are
+over all their words are within ``DISTANCE`` (16) of 64 bits. Only hashes are
 dealt out at first. Lines whose hash has a partner are then dealt out with their
 text and verified by edits, and a bucket gives out a spanning forest of its
 links, not its pairs. Buckets above ``BLOCK`` lines are cut into blocks: links
@@ -38,7 +38,8 @@ only n_lines and n_dropped are replaced (by :func:`dedup_lines`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ from quillspark.llm.durable import durable, light
 from quillspark.llm.textnum import LIMIT, Words, mix, pieces, raw, signed, span_hashes
 
 #: Bits of the SimHash over a whole line in which candidates may differ.
-DISTANCE = 20
+DISTANCE = 16
 SIMILARITY = 0.8
 #: Words from which a line's blocks stand alone, words in a block at least, blocks of a line at most.
 SHORT, LEAST, SHARES = 24, 3, 8
@@ -79,8 +80,8 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.searchsorted(breaks, offsets[:-1], "left") + np.arange(len(offsets) - 1)
 
 
-def _sim_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SimHash of each non-empty range of word hashes: the majority of each bit (a tie is 0)."""
+def _sim_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 8) -> np.ndarray:
+    """SimHash (of ``size`` bytes) of each non-empty range of word hashes: the majority of each bit (a tie is 0)."""
     starts, sizes = bounds[:-1], np.diff(bounds)
     parts = (sizes + 254) // 255  # eight-bit counters hold 255 words
     owner = np.repeat(np.arange(len(sizes)), parts)
@@ -88,7 +89,7 @@ def _sim_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     cuts = starts[owner] + 255 * inner
     out = np.zeros(len(sizes), _U)
     first = np.cumsum(parts) - parts
-    for byte in range(8):
+    for byte in range(size):
         counters = np.add.reduceat(_SPREAD[(words >> _U(8 * byte)) & _U(255)], cuts)
         single = len(owner) == len(sizes)
         for bit in range(8):
@@ -103,7 +104,7 @@ def _blocks(line: np.ndarray, share: np.ndarray, feature: np.ndarray) -> tuple[n
     """Of words sorted by line and share: line, share, SimHash and word count of each block."""
     first = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (share[1:] != share[:-1]))))
     edges = np.concatenate((first, [len(line)]))
-    return line[first], share[first], _sim_hashes(feature, edges), np.diff(edges)
+    return line[first], share[first], _sim_hashes(feature, edges, 4), np.diff(edges)
 
 
 def _level(words: np.ndarray) -> np.ndarray:
@@ -195,13 +196,13 @@ def normal_form(line: str) -> str:
     return " ".join(filter(None, plain.split(" ")))
 
 
-def edits(a: str, b: str, most: int | None = None) -> int:
+def edits(a: Sequence, b: Sequence, most: int | None = None) -> int:
     """Levenshtein distance, a column of bits at a time (Myers' method on Python integers); if above ``most``, any number above it."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return len(b)
-    where: dict[str, int] = {}
+    where: dict[object, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     mask, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
@@ -249,8 +250,17 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     first = _common(a, b, False)
     a, b = a[first:], b[first:]
     last = _common(a, b, True)
+    a, b = a[: len(a) - last], b[: len(b) - last]
     most = int((1 - similarity + 1e-12) * longer)
-    return edits(a[: len(a) - last], b[: len(b) - last], most) <= most
+    if max(len(a), len(b)) <= most:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    changed = Counter(x)
+    changed.subtract(y)
+    sizes = [len(w) + 1 for w, n in changed.items() if n]
+    if sizes and edits(x, y, k := most // max(sizes)) <= k:
+        return True  # so many words replaced, added or left out (with a blank) are enough
+    return edits(a, b, most) <= most
 
 
 class Grams:
@@ -457,7 +467,7 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, forms: DataFrame, distance: i
     wanted = durable(forms.select("doc_id", "copy", "line", "line_hash", "sim").join(suspects, "sim").groupBy("doc_id", "copy").agg(F.collect_list(entry).alias("wanted")), "wanted")
     texts = docs.select(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"), "text")
     same_row = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_copy") == F.col("copy"))
-    found = durable(texts.join(light(wanted, 4 * _entries(wanted, "wanted")), same_row).select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, keys array<long>, form string"), "texts")
+    found = durable(texts.join(light(wanted, _entries(wanted, "wanted")), same_row).select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, keys array<long>, form string"), "texts")
     cells = found.select(F.explode("keys").alias("key"), "sim", "line_hash", "keys", F.length("form").alias("size"), "form", F.col("line_hash").alias("comp"))
     if not n_crowded:
         return verified(cells.withColumn("cell", F.col("key"))).distinct()
