@@ -14,7 +14,8 @@ all blocks but 2k agree (pigeonhole). Lines of ``SHORT`` (24) words or more use
 many shares that each holds three to six words, the first ``SHARES`` (8) of them,
 and those of 0.8 times as many words too; shorter lines use 8 shares, joined in
 neighbouring pairs. Lines that agree in a block are candidates if the SimHashes
-over all their words are within ``DISTANCE`` (16) of 64 bits. Only hashes are
+over all their words are within ``DISTANCE`` (16) of 64 bits, and within twice that
+of 128 bits once their texts are there. Only hashes are
 dealt out at first. Lines whose hash has a partner are then dealt out with their
 text and verified by edits, and a bucket gives out a spanning forest of its
 links, not its pairs. Buckets above ``BLOCK`` lines are cut into blocks: links
@@ -54,6 +55,7 @@ from quillspark.llm.textnum import LIMIT, Words, mix, pieces, raw, signed, span_
 
 #: Bits of the SimHash over a whole line in which candidates may differ.
 DISTANCE = 16
+_BASIS = np.uint64(0x6A09E667F3BCC909)
 SIMILARITY = 0.8
 #: Words from which a line's blocks stand alone, words in a block at least, blocks of a line at most.
 SHORT, LEAST, SHARES = 24, 3, 8
@@ -165,8 +167,14 @@ class LineBatch:
         again = np.arange(len(ordered)) - np.repeat(first, np.diff(np.concatenate((first, [len(ordered)]))))
         feature = mix(place + _U(1) + (again.astype(_U) << _U(41)))  # a word's second occurrence is a feature of its own
         self.sim_hash = _sim_hashes(feature, bounds)
+        self._again = feature, bounds
         self.key_line, self.key = _block_keys(line, place, feature, words)
 
+    def second_hash(self) -> np.ndarray:
+        """The other 64 bits of the SimHash of each line."""
+        feature, bounds = self._again
+        return _sim_hashes(mix(feature ^ _BASIS), bounds)
+
     def key_lists(self, fresh: np.ndarray) -> pa.Array:
         """The keys of each line, none for lines that are not ``fresh``."""
         own = fresh[self.key_line]
@@ -257,9 +265,12 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     changed = Counter(x)
     changed.subtract(y)
-    sizes = [len(w) + 1 for w, n in changed.items() if n]
-    if sizes and edits(x, y, k := most // max(sizes)) <= k:
-        return True  # so many words replaced, added or left out (with a blank) are enough
+    sizes = [(len(w) + 1, n) for w, n in changed.items() if n]
+    gone, new = sum(n for _, n in sizes if n > 0), -sum(n for _, n in sizes if n < 0)
+    all_ = sum(size * abs(n) for size, n in sizes)
+    if sizes and max(gone, new) * min(sizes)[0] <= most and (k := edits(x, y, most)) <= most:
+        if k * max(sizes)[0] <= most or k == max(gone, new) and all_ <= most:
+            return True  # so many words replaced, added or left out (with a blank) are enough
     return edits(a, b, most) <= most
 
 
@@ -285,14 +296,8 @@ class Grams:
         return np.concatenate([np.zeros(0, np.int64), *changed]) <= 4 * most
 
 
-def _root(up: list[int], x: int) -> int:
-    while up[x] != x:
-        up[x] = x = up[up[x]]
-    return x
-
-
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["line_hash", "sim", "keys", "form"]
+    names = ["line_hash", "sim", "keys", "form", "sim2"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
     for batch in (some for whole in batches for some in pieces(whole)):
         out = []
@@ -300,15 +305,20 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = (text or "").split("\n")
             out += [(w["line_hash"], w["sim"], w["keys"], normal_form(lines[w["line"]])) for w in wanted]
         for lo in range(0, len(out), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out[lo : lo + 4096]], kind) for k, kind in enumerate(kinds)], names)
+            columns = [pa.array([r[k] for r in out[lo : lo + 4096]], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(signed(LineBatch(*raw(columns[3])).second_hash()))], names)
 
 
 def _near_pairs(cell: np.ndarray, sim: np.ndarray, distance: int, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places of one bucket whose hashes are close, all pairs of one step at a time; pairs equal in ``done``, which the caller may change between steps, are left out."""
     sim, at, step = sim.view(_U), np.arange(len(cell)), 1
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    which = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(cell)]))))
     while True:
         at = at[at + step < len(cell)]
         at = at[cell[at] == cell[at + step]]
+        if step % 8 == 1 and len(at):  # buckets that have become one leave
+            at = at[(np.minimum.reduceat(done, first) != np.maximum.reduceat(done, first))[which[at]]]
         if not len(at):
             return
         open_ = at[done[at] != done[at + step]]
@@ -376,36 +386,29 @@ def _earlier(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, key, sim, line_hash, keys, size, form, comp) sorted by cell: links that join each bucket's groups.
+    """Of rows (cell, key, sim, sim2, line_hash, keys, size, form, comp) sorted by cell: links that join each bucket's groups.
 
     A pair that shares several keys is verified in the bucket of the least one. Rows of one ``comp`` are joined already.
     """
     for rows in _whole_buckets(batches, "line_hash"):
-        cell, key, sim, ids, sizes, comp = (rows.column(c).to_numpy() for c in ("cell", "key", "sim", "line_hash", "size", "comp"))
+        cell, key, sim, more, ids, sizes, comp = (rows.column(c).to_numpy() for c in ("cell", "key", "sim", "sim2", "line_hash", "size", "comp"))
         forms, keys = rows.column("form").combine_chunks(), _padded(rows.column("keys"))
         grams = Grams(forms)
         order = np.lexsort((comp, cell))
-        where = np.zeros(len(cell), np.int64)  # nodes: the groups of each bucket
-        where[order[1:]] = np.cumsum((cell[order][1:] != cell[order][:-1]) | (comp[order][1:] != comp[order][:-1]))
-        up = list(range(int(where.max(initial=-1)) + 1))
-        group = where.copy()
+        group = np.zeros(len(cell), np.int64)  # rows of a bucket that are joined
+        group[order[1:]] = np.cumsum((cell[order][1:] != cell[order][:-1]) | (comp[order][1:] != comp[order][:-1]))
         found: list[tuple[int, int]] = []
         for a, b in _near_pairs(cell, sim, distance, group):
-            keep = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            keep = np.bitwise_count(sim[a].view(_U) ^ sim[b].view(_U)) + np.bitwise_count(more[a].view(_U) ^ more[b].view(_U)) <= 2 * distance
+            keep &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
             a, b = a[keep], b[keep]
             keep = ~_earlier(keys[a], keys[b], key[a])
             a, b = a[keep], b[keep]
             keep = grams.may_be_alike(a, b, similarity)
-            joined = False
             for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                x, y = _root(up, int(where[i])), _root(up, int(where[j]))
-                if x != y and alike(forms[i].as_py(), forms[j].as_py(), similarity):
+                if group[i] != group[j] and alike(forms[i].as_py(), forms[j].as_py(), similarity):
                     found.append((int(ids[i]), int(ids[j])))
-                    up[y] = x
-                    joined = True
-            if joined:
-                roots = np.array([_root(up, x) for x in range(len(up))])
-                group[:] = roots[where]
+                    group[group == group[j]] = group[i]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -467,8 +470,8 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, forms: DataFrame, distance: i
     wanted = durable(forms.select("doc_id", "copy", "line", "line_hash", "sim").join(suspects, "sim").groupBy("doc_id", "copy").agg(F.collect_list(entry).alias("wanted")), "wanted")
     texts = docs.select(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"), "text")
     same_row = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_copy") == F.col("copy"))
-    found = durable(texts.join(light(wanted, _entries(wanted, "wanted")), same_row).select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, keys array<long>, form string"), "texts")
-    cells = found.select(F.explode("keys").alias("key"), "sim", "line_hash", "keys", F.length("form").alias("size"), "form", F.col("line_hash").alias("comp"))
+    found = durable(texts.join(light(wanted, _entries(wanted, "wanted")), same_row).select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, keys array<long>, form string, sim2 long"), "texts")
+    cells = found.select(F.explode("keys").alias("key"), "sim", "sim2", "line_hash", "keys", F.length("form").alias("size"), "form", F.col("line_hash").alias("comp"))
     if not n_crowded:
         return verified(cells.withColumn("cell", F.col("key"))).distinct()
     return _crowded_links(cells, crowded, n_crowded, verified)
@@ -481,7 +484,7 @@ def _crowded_links(cells: DataFrame, crowded: DataFrame, n_crowded: int, verifie
     place = F.pmod(F.xxhash64("line_hash"), "blocks").cast("int")
     many = durable(cells.filter("blocks is not null").withColumn("x", place), "many")
     inside = cells.filter("blocks is null").withColumn("cell", F.col("key")).drop("blocks").unionByName(many.withColumn("cell", F.xxhash64("key", "x")).drop("blocks", "x"))
-    heads = many.groupBy("key", "x").agg(F.min_by(F.struct("sim", "line_hash", "keys", "size", "form", "comp"), "line_hash").alias("h")).select("key", "h.*").withColumn("cell", F.xxhash64("key", F.lit(-1)))
+    heads = many.groupBy("key", "x").agg(F.min_by(F.struct("sim", "sim2", "line_hash", "keys", "size", "form", "comp"), "line_hash").alias("h")).select("key", "h.*").withColumn("cell", F.xxhash64("key", F.lit(-1)))
     links = durable(verified(inside).unionByName(verified(heads)).distinct(), "inside")
     groups = components(links).select(F.col("child").alias("line_hash"), F.col("root"))
     known = durable(many.drop("comp").join(groups, "line_hash", "left").withColumn("comp", F.coalesce("root", "line_hash")).drop("root"), "grouped")
