@@ -86,20 +86,20 @@ def _sim_hashes(words: np.ndarray, bounds: np.ndarray, size: int = 8) -> np.ndar
     """SimHash (of ``size`` bytes) of each non-empty range of word hashes: the majority of each bit (a tie is 0)."""
     starts, sizes = bounds[:-1], np.diff(bounds)
     parts = (sizes + 254) // 255  # eight-bit counters hold 255 words
-    owner = np.repeat(np.arange(len(sizes)), parts)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    cuts = starts[owner] + 255 * inner
-    out = np.zeros(len(sizes), _U)
-    first = np.cumsum(parts) - parts
+    first, cuts, single = np.cumsum(parts) - parts, starts, bool((parts == 1).all())
+    if not single:
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        cuts = starts[owner] + 255 * (np.arange(len(owner)) - np.repeat(first, parts))
+    signs, half = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), (sizes >> 1)[:, None]
+    if single:
+        half = half.astype(np.uint8)
+    out = np.zeros((len(sizes), 8), np.uint8)
     for byte in range(size):
-        counters = np.add.reduceat(_SPREAD[(words >> _U(8 * byte)) & _U(255)], cuts)
-        single = len(owner) == len(sizes)
-        for bit in range(8):
-            ones = ((counters >> _U(8 * bit)) & _U(255)).astype(np.int64)
-            if not single:
-                ones = np.add.reduceat(ones, first)
-            out |= (2 * ones > sizes).astype(_U) << _U(8 * byte + bit)
-    return out
+        ones = np.add.reduceat(_SPREAD[signs[:, byte]], cuts).view(np.uint8).reshape(-1, 8)
+        if not single:
+            ones = np.add.reduceat(ones.astype(np.int64), first, axis=0)
+        out[:, byte] = np.packbits(ones > half, axis=1, bitorder="little")[:, 0]
+    return out.view(_U).ravel()
 
 
 def _blocks(line: np.ndarray, share: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ class LineBatch:
         self.text = np.searchsorted(first_line, full, "right") - 1
         self.line = full - first_line[self.text]
         self.line_hash = self.sim_hash = np.zeros(0, _U)
-        self.key_line, self.key = np.zeros(0, np.int64), np.zeros(0, _U)
+        self._words = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
         if not len(full):
             return
         self.line_hash = span_hashes(hashes, bounds[:-1], bounds[1:])
@@ -167,18 +167,22 @@ class LineBatch:
         again = np.arange(len(ordered)) - np.repeat(first, np.diff(np.concatenate((first, [len(ordered)]))))
         feature = mix(place + _U(1) + (again.astype(_U) << _U(41)))  # a word's second occurrence is a feature of its own
         self.sim_hash = _sim_hashes(feature, bounds)
-        self._again = feature, bounds
-        self.key_line, self.key = _block_keys(line, place, feature, words)
+        self._bounds = bounds
+        self._words = line, place, feature, words
 
     def second_hash(self) -> np.ndarray:
         """The other 64 bits of the SimHash of each line."""
-        feature, bounds = self._again
-        return _sim_hashes(mix(feature ^ _BASIS), bounds)
+        return _sim_hashes(mix(self._words[2] ^ _BASIS), self._bounds)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of all blocks."""
+        return _block_keys(*self._words)
 
     def key_lists(self, fresh: np.ndarray) -> pa.Array:
         """The keys of each line, none for lines that are not ``fresh``."""
-        own = fresh[self.key_line]
-        line, key = self.key_line[own], self.key[own]
+        line, key = self.keys()
+        own = fresh[line]
+        line, key = line[own], key[own]
         order = np.argsort(line, kind="stable")
         ends = np.searchsorted(line[order], np.arange(len(fresh) + 1))
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(key[order])))
