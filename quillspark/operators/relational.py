@@ -54,11 +54,24 @@ def keyset_page(df: DataFrame, key: str, after: int | None, limit: int) -> DataF
     return rows.orderBy(F.col(key).asc_nulls_last()).limit(limit + 1)
 
 
+#: Ids of a list that are broadcast; longer lists are joined by a shuffle.
+MOST_IDS = 500_000
+
+
+def optional(df: DataFrame, **wanted: object) -> DataFrame:
+    """Rows that agree with the given columns: a value, or one of a list; None asks for nothing."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == value)
+    return df
+
+
 def by_list(df: DataFrame, key: str, ids: list[int]) -> DataFrame:
     """Rows of the listed ids in list order; the first mention of an id counts."""
     spark = df.sparkSession
     places = spark.createDataFrame([(v, k) for k, v in enumerate(dict.fromkeys(ids))], f"{key} long, __place int")
-    return df.join(F.broadcast(places), key).orderBy("__place").drop("__place")
+    places = F.broadcast(places) if len(ids) <= MOST_IDS else places
+    return df.join(places, key).orderBy("__place").drop("__place")
 
 
 def pairs_within(df: DataFrame, key: str, item: str) -> DataFrame:

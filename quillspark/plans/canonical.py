@@ -6,7 +6,8 @@ Inputs are DataFrames with these columns:
 * ``decisions``: decision_id, mode (merge_to, keep_separate, confirm_winner), doi, title, year,
   winner_doi, winner_title, winner_year, updated_at, active: durable, matched by key and not by id
 * ``overrides``: pub_id, mode (merge_to, keep_separate), winner_pub_id
-* ``scopes``: decision_id, scope_type (include, exclude), person_id, doi, title, year, updated_at, active
+* ``scopes``: decision_id, scope_type (global, person), person_id, mode (include, exclude), doi, title, year, updated_at, active, note
+* ``authorships``: pub_id, person_id, is_internal, paper_affiliation, affiliations (array); ``people``: person_id, display_name
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
-from quillspark.functions.payloads import best_rank, families, tokens
+from quillspark.durable import settled
+from quillspark.functions import dates, text
+from quillspark.functions.payloads import best_rank, families, token_list, tokens
 from quillspark.operators.relational import false_null_true, first_by, or_equi_join, ordered_text, top_per_group
 
 #: Record types that are no publications.
-CROSSREF_EXCLUDED = ["component", "grant", "journal", "journal-issue", "peer-review", "reference-entry"]
-OPENALEX_EXCLUDED = ["dataset", "editorial", "erratum", "grant", "paratext", "peer-review", "supplementary-materials"]
+CROSSREF_EXCLUDED = ["dataset", "other", "peer-review", "posted-content", "preprint", "reference-entry"]
+OPENALEX_EXCLUDED = ["dataset", "editorial", "erratum", "other", "paratext", "peer-review", "preprint"]
 
 
 def excluded_type(payload: Column) -> Column:
@@ -53,84 +55,162 @@ def durable_decisions(works: DataFrame, decisions: DataFrame) -> DataFrame:
     found = _matches(works, rows, "d_doi", "d_title", "d_year").join(winners, "decision_id", "left")
     found = found.filter((F.col("mode") == "keep_separate") | F.col("winner_pub_id").isNotNull())
     best = top_per_group(found, ["pub_id"], [F.col("by_title"), F.col("updated_at").desc_nulls_last(), F.col("decision_id").desc()])
-    return best.select("pub_id", F.col("mode").alias("d_mode"), F.col("winner_pub_id").alias("d_winner"), "decision_id", "updated_at")
+    return best.select("pub_id", F.col("mode").alias("d_mode"), F.when(F.col("mode") != "keep_separate", F.col("winner_pub_id")).alias("d_winner"), "decision_id")
 
 
 def memberships(works: DataFrame, decisions: DataFrame, overrides: DataFrame, transitive: bool = False) -> DataFrame:
-    """pub_id, dedup_key, canonical_pub_id, group_size, is_canonical, canonical_locked.
+    """pub_id, dedup_key, canonical_pub_id, group_size, is_canonical, canonical_locked, confirm_decision_id.
 
-    Precedence: the key's confirmed winner, itself if others merge to it, its merge target, the automatic
-    winner (not a preprint with unknown last, manual or funded provenance, unversioned DOI, least id).
-    Excluded types vanish, even as targets. Rules are not chained unless ``transitive``.
+    Precedence: the key's confirmed winner (of the newest decision), itself if others merge to it, its
+    merge target, the automatic winner (not a preprint with unknown last, manual or funded provenance,
+    unversioned DOI, least id). Excluded types vanish, even as targets. Rules are not chained; with
+    ``transitive`` they are followed to their end, and a cycle ends at its least id.
     """
     rows = keyed(works)
     ids = overrides.select("pub_id", F.col("mode").alias("o_mode"), F.col("winner_pub_id").alias("o_winner"))
     typed = rows.join(ids, "pub_id", "left").join(durable_decisions(rows, decisions), "pub_id", "left")
     mode = F.coalesce("o_mode", "d_mode")
     winner = F.when(F.col("o_mode").isNotNull(), F.col("o_winner")).otherwise(F.col("d_winner"))
-    key = F.when(mode == "keep_separate", F.concat(F.coalesce("norm_title", F.lit("")), F.lit("#pub:"), F.col("pub_id"))).otherwise(F.col("norm_title"))
-    base = typed.filter(~excluded_type(F.col("payload"))).withColumn("mode", mode).withColumn("winner", winner).withColumn("dedup_key", F.coalesce(key, F.concat(F.lit("#pub:"), F.col("pub_id"))))
-    confirmed = base.filter("mode = 'confirm_winner'").join(base.select(F.col("pub_id").alias("winner")), "winner", "left_semi")
-    confirmed = top_per_group(confirmed, ["dedup_key"], [F.col("updated_at").desc_nulls_last(), F.col("decision_id").desc()]).select("dedup_key", F.col("winner").alias("confirmed"))
-    funded = F.coalesce(F.col("provenance").ilike("%manual%") | F.col("provenance").ilike("%fund%"), F.lit(False))
+    own_key = F.concat(F.lit("#pub:"), F.col("pub_id"))
+    # titles can be long: from here on a key of fixed size stands for them
+    key = F.when(mode == "keep_separate", F.concat(F.coalesce("norm_title", F.lit("")), own_key)).otherwise(F.coalesce("norm_title", own_key))
+    funded = F.coalesce(F.col("provenance").ilike("%manual%") | F.col("provenance").ilike("%funding%"), F.lit(False))
     versioned = F.coalesce(F.col("doi").rlike(r"(?i)[/._]v[0-9]+$"), F.lit(False))
-    automatic = base.groupBy("dedup_key").agg(first_by(F.col("pub_id"), false_null_true(F.col("is_preprint")), (~funded).cast("int"), versioned.cast("int"), F.col("pub_id")).alias("automatic"))
-    targets = base.filter("mode = 'merge_to'").select(F.col("winner").alias("pub_id")).distinct().join(base.select("pub_id"), "pub_id", "left_semi").withColumn("is_target", F.lit(True))
-    mapped = base.join(confirmed, "dedup_key", "left").join(automatic, "dedup_key").join(targets, "pub_id", "left")
-    valid = mapped.join(targets.select(F.col("pub_id").alias("winner"), F.lit(True).alias("winner_exists")), "winner", "left")
-    chosen = F.coalesce("confirmed", F.when(F.col("is_target"), F.col("pub_id")), F.when((F.col("mode") == "merge_to") & F.col("winner_exists"), F.col("winner")), "automatic")
-    out = valid.select("pub_id", "dedup_key", chosen.alias("canonical_pub_id"), F.col("confirmed").isNotNull().alias("canonical_locked"))
+    order = F.struct(false_null_true(F.col("is_preprint")).alias("a"), (~funded).cast("int").alias("b"), versioned.cast("int").alias("c"), F.col("pub_id").alias("id"))
+    base = typed.filter(~excluded_type(F.col("payload"))).select("pub_id", "decision_id", mode.alias("mode"), winner.alias("winner"), F.sha2(key, 256).alias("dedup_key"), order.alias("order"))
+    base = settled(base, "members")
+    ids = base.select(F.col("pub_id").alias("winner"))
+    confirmed = base.filter("mode = 'confirm_winner'").withColumn("winner", F.coalesce("winner", "pub_id")).join(ids, "winner", "left_semi")
+    confirmed = top_per_group(confirmed, ["dedup_key"], [F.col("decision_id").desc_nulls_last(), F.col("pub_id").desc()]).select("dedup_key", F.col("winner").alias("confirmed"), F.col("decision_id").alias("confirm_decision_id"))
+    automatic = base.groupBy("dedup_key").agg(F.min("order")["id"].alias("automatic"))
+    merges = base.filter("mode = 'merge_to'").join(ids, "winner", "left_semi")
+    targets = merges.select(F.col("winner").alias("pub_id"), F.lit(True).alias("is_target")).distinct()
+    mapped = base.join(automatic, "dedup_key").join(confirmed, "dedup_key", "left").join(targets, "pub_id", "left").join(merges.select("pub_id", F.col("winner").alias("merged_to")), "pub_id", "left")
+    itself = F.when(F.col("is_target"), F.col("pub_id"))
+    chosen = F.coalesce("confirmed", *((F.col("merged_to"), itself) if transitive else (itself, F.col("merged_to"))), "automatic")
+    out = mapped.select("pub_id", "dedup_key", chosen.alias("canonical_pub_id"), F.col("confirmed").isNotNull().alias("canonical_locked"), "confirm_decision_id")
     if transitive:
-        step = out.select(F.col("pub_id").alias("canonical_pub_id"), F.col("canonical_pub_id").alias("next"))
-        for _ in range(2):
-            out = out.join(step, "canonical_pub_id", "left").select("pub_id", "dedup_key", F.coalesce("next", "canonical_pub_id").alias("canonical_pub_id"), "canonical_locked")
+        out = _followed(out)
     sizes = out.groupBy("canonical_pub_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return out.join(sizes, "canonical_pub_id").select("pub_id", "dedup_key", "canonical_pub_id", "group_size", (F.col("pub_id") == F.col("canonical_pub_id")).alias("is_canonical"), "canonical_locked")
+    return out.join(sizes, "canonical_pub_id").select("pub_id", "dedup_key", "canonical_pub_id", "group_size", (F.col("pub_id") == F.col("canonical_pub_id")).alias("is_canonical"), "canonical_locked", "confirm_decision_id")
+
+
+def _followed(members: DataFrame) -> DataFrame:
+    """Canonical ids followed to the end of their chain by doubling steps: log2 of the longest possible chain rounds."""
+    members = settled(members, "chained")
+    held = members.select(F.col("canonical_pub_id").alias("pub_id")).distinct()
+    hop = settled(members.join(held, "pub_id", "left_semi").filter("pub_id <> canonical_pub_id").select(F.col("pub_id").alias("at"), F.col("canonical_pub_id").alias("to"), F.least("pub_id", "canonical_pub_id").alias("least")), "hops")
+    n = hop.count()
+    if not n:
+        return members
+    for _ in range(n.bit_length() + 1):  # after 2**k hops every walk is at a root or in a cycle
+        more = hop.select(F.col("at").alias("to"), F.col("to").alias("next"), F.col("least").alias("next_least"))
+        hop = settled(hop.join(more, "to", "left").select("at", F.coalesce("next", "to").alias("to"), F.least("least", "next_least").alias("least")), "hops")
+    # an end that still hops is in a cycle, and its walk has seen the whole cycle
+    ends = hop.select(F.col("at").alias("to"), F.col("least").alias("cycle"))
+    ends = hop.join(ends, "to", "left").select(F.col("at").alias("canonical_pub_id"), F.coalesce("cycle", "to").alias("end"))
+    return members.join(ends, "canonical_pub_id", "left").withColumn("canonical_pub_id", F.coalesce("end", "canonical_pub_id")).drop("end")
+
+
+def policy_score(durable_winner: Column | None = None) -> list[Column]:
+    """The merge policy as sort keys, best first: the durable winner, published before unknown before preprint, DOI, trusted source, more tokens, more that say more, year, venue, least id."""
+    published = F.when(F.col("is_preprint").isNull(), 1).when(F.col("is_preprint"), 0).otherwise(2)
+    said = token_list(F.col("provenance"))
+    first = F.lit(0) if durable_winner is None else (~F.coalesce(F.col("pub_id") == durable_winner, F.lit(False))).cast("int")
+    has = lambda c: -F.coalesce(c, F.lit(False)).cast("int")
+    return [first, -published, has(text.normalize_doi(F.col("doi")).isNotNull()), best_rank(F.col("provenance")), -F.greatest(F.size(F.array_distinct(said)), F.lit(1)), -F.size(F.filter(said, lambda t: F.contains(t, F.lit("-")))), has(F.col("year").isNotNull()), has(F.col("venue") != ""), F.col("pub_id")]
 
 
-def policy_winner(works: DataFrame, group: str) -> DataFrame:
-    """The merge policy's winner of each group: published before unknown before preprint, DOI, trusted source, more tokens, year, venue, least id."""
-    published = F.when(F.col("is_preprint").isNull(), 1).when(F.col("is_preprint"), 0).otherwise(2)
-    score = [-published, -F.col("doi").isNotNull().cast("int"), best_rank(F.col("provenance")), -F.size(tokens(F.col("provenance"))), -F.col("year").isNotNull().cast("int"), -F.col("venue").isNotNull().cast("int"), F.col("pub_id")]
-    return works.groupBy(group).agg(first_by(F.col("pub_id"), *score).alias("winner_pub_id"))
+def policy_winner(works: DataFrame, group: str, durable_winner: str | None = None) -> DataFrame:
+    """The merge policy's winner of each group, by :func:`policy_score`; ``durable_winner`` names a column with the curators' choice."""
+    return works.groupBy(group).agg(first_by(F.col("pub_id"), *policy_score(F.col(durable_winner) if durable_winner else None)).alias("winner_pub_id"))
 
 
-def clean_list(works: DataFrame, members: DataFrame, authorships: DataFrame) -> DataFrame:
-    """Canonical works with the internal authors and affiliations of their whole group."""
-    people = members.select("pub_id", "canonical_pub_id").join(authorships.filter("is_internal"), "pub_id").groupBy("canonical_pub_id")
-    gathered = people.agg(ordered_text(F.col("author_name"), "; ").alias("internal_authors"), ordered_text(F.col("affiliation"), "; ").alias("internal_affiliations"))
-    rows = works.join(members.filter("is_canonical").select("pub_id", "group_size"), "pub_id")
-    return rows.join(gathered.withColumnRenamed("canonical_pub_id", "pub_id"), "pub_id", "left")
+def clean_list(works: DataFrame, members: DataFrame, authorships: DataFrame, people: DataFrame) -> DataFrame:
+    """Canonical works with the names and affiliations of the internal authors of their whole group."""
+    own = authorships.filter("person_id is not null and is_internal is true").select("pub_id", "person_id", F.coalesce("paper_affiliation", F.array_join("affiliations", "; ")).alias("affiliation"))
+    rows = members.select("pub_id", "canonical_pub_id").join(own, "pub_id").join(people.select("person_id", "display_name"), "person_id", "left")
+    gathered = rows.groupBy(F.col("canonical_pub_id").alias("pub_id")).agg(ordered_text(F.col("display_name"), ", ").alias("internal_authors"), ordered_text(F.col("affiliation"), "; ").alias("internal_affiliations"))
+    kept = members.filter("is_canonical").select("pub_id", "group_size", "canonical_locked", "confirm_decision_id")
+    return works.join(kept, "pub_id").join(gathered, "pub_id", "left")
 
 
 def scope_matches(works: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(pub_id, scope_type, person_id): the newest active decision of each kind."""
-    rows = scopes.filter("active").select("decision_id", "scope_type", "person_id", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"))
+    """pub_id, decision_id, scope_type, person_id, mode, note: each work's one active decision of a scope (and person): by DOI before title, then the newest."""
+    rows = scopes.filter("active").select("decision_id", "scope_type", "person_id", "mode", "note", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"))
     found = _matches(keyed(works), rows, "d_doi", "d_title", "d_year").withColumn("person", F.coalesce("person_id", F.lit(0)))
     best = top_per_group(found, ["pub_id", "scope_type", "person"], [F.col("by_title"), F.col("updated_at").desc_nulls_last(), F.col("decision_id").desc()])
-    return best.select("pub_id", "scope_type", "person_id")
+    return best.select("pub_id", "decision_id", "scope_type", "person_id", "mode", "note")
 
 
 def canon(works: DataFrame, members: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Canonical works: not preprints, not excluded, and included or with an attributed member; provisional without DOI."""
-    globally = scope_matches(works, scopes).filter("person_id is null")
+    """Canonical works: not preprints, not excluded, and included or with an attributed member; provisional without DOI. Adds scope_mode and scope_decision_id."""
+    decided = scope_matches(works, scopes).filter("scope_type = 'global' and person_id is null").select("pub_id", F.col("mode").alias("scope_mode"), F.col("decision_id").alias("scope_decision_id"))
     attributed = members.select("pub_id", "canonical_pub_id").join(works.filter("attributed").select("pub_id"), "pub_id", "left_semi").select(F.col("canonical_pub_id").alias("pub_id")).distinct().withColumn("group_attributed", F.lit(True))
-    included = globally.filter("scope_type = 'include'").select("pub_id").distinct().withColumn("included", F.lit(True))
-    rows = works.join(members.filter("is_canonical").select("pub_id"), "pub_id", "left_semi").filter("is_preprint is not true").join(globally.filter("scope_type = 'exclude'"), "pub_id", "left_anti")
-    rows = rows.join(attributed, "pub_id", "left").join(included, "pub_id", "left").filter("group_attributed is true or included is true")
-    return rows.drop("group_attributed", "included").withColumn("provisional", F.col("doi").isNull())
+    rows = works.join(members.filter("is_canonical").select("pub_id"), "pub_id", "left_semi").filter("is_preprint is not true")
+    rows = rows.join(decided, "pub_id", "left").join(attributed, "pub_id", "left").filter("scope_mode is distinct from 'exclude' and (scope_mode = 'include' or group_attributed)")
+    return rows.drop("group_attributed").withColumn("provisional", F.col("doi").isNull())
+
+
+def dated(clean: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Clean works with pub_date, pub_month, pub_day and pub_date_precision from their payloads (pub_id, payload)."""
+    rows = clean.drop("payload").join(payloads.select("pub_id", F.col("payload").alias("__payload")), "pub_id", "left")
+    day, precision = dates.publication_date(F.col("__payload"), F.col("year"))
+    rows = rows.withColumn("pub_date", day).withColumn("pub_date_precision", precision).drop("__payload")
+    return rows.withColumn("pub_month", F.month("pub_date")).withColumn("pub_day", F.day("pub_date"))
+
+
+def person_coverage(person_id: int, works: DataFrame, members: DataFrame, authorships: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Where each work of one person stands: status (in_canon, excluded_manually, preprint_only, missing_institution_signal,
+    outside_dedup_universe) and whether its date lies between the person's first and last canonical ones."""
+    own = authorships.filter(F.col("person_id") == person_id).select("pub_id").distinct()
+    mine = own.join(members.select("pub_id", F.col("canonical_pub_id").alias("winner")), "pub_id", "left")
+    winners = mine.filter("winner is not null").select(F.col("winner").alias("pub_id")).distinct()
+    kept = works.join(members.filter("is_canonical").select("pub_id", "group_size"), "pub_id").join(winners, "pub_id", "left_semi")
+    in_canon = canon(works, members, scopes).select("pub_id", F.lit(True).alias("is_canon"))
+    decided = scope_matches(works, scopes).filter("scope_type = 'global' and person_id is null").select("pub_id", F.col("mode").alias("scope_mode"), F.col("note").alias("scope_note"))
+    status = F.when(F.col("is_canon"), "in_canon").when(F.col("scope_mode") == "exclude", "excluded_manually").when(F.col("is_preprint"), "preprint_only").otherwise("missing_institution_signal")
+    columns = ["pub_id", "title", "year", "pub_date", "pub_date_precision", "venue", "doi", "provenance", "group_size", "scope_note", "status"]
+    rows = dated(kept, works).join(in_canon, "pub_id", "left").join(decided, "pub_id", "left").withColumn("status", status).select(*columns)
+    kind = F.coalesce(F.get_json_object("payload", "$.crossref.type"), F.get_json_object("payload", "$.openalex.type"))
+    outside = works.join(mine.filter("winner is null").select("pub_id"), "pub_id", "left_semi").select(
+        "pub_id", "title", "year", F.lit(None).cast("date").alias("pub_date"), F.lit(None).cast("string").alias("pub_date_precision"), "venue", "doi", "provenance",
+        F.lit(None).cast("long").alias("group_size"), kind.alias("scope_note"), F.lit("outside_dedup_universe").alias("status"),
+    )
+    every = rows.unionByName(outside)
+    window = rows.filter("status = 'in_canon'").agg(F.min("pub_date").alias("first_canon_date"), F.max("pub_date").alias("last_canon_date"))
+    placed = every.crossJoin(F.broadcast(window))  # one row
+    position = F.when(F.col("pub_date").isNull(), "undated").when(F.col("pub_date").between(F.col("first_canon_date"), F.col("last_canon_date")), "in_window").otherwise("outside_window")
+    return placed.withColumn("window_position", position).orderBy(F.col("status") == "in_canon", F.col("pub_date").asc_nulls_last(), "pub_id")
 
 
 def attribution(works: DataFrame, rules: DataFrame) -> DataFrame:
     """works with ``attributed``: an active rule's pattern is in the payload (funding rules look at provenance too). Rules are few: a broadcast of checked size."""
     active = rules.filter("active").select(F.btrim(F.lower("pattern")).alias("p")).filter("p <> ''").distinct()
-    patterns = [r[0] for r in active.limit(10_001).collect()]
-    if len(patterns) > 10_000:
-        found = works.select("pub_id", "payload").join(active, F.contains(F.lower("payload"), F.col("p")), "left_semi").select("pub_id", F.lit(True).alias("hit"))
-        return works.drop("attributed").join(found, "pub_id", "left").withColumn("attributed", F.coalesce("hit", F.lit(False))).drop("hit")
-    body = F.lower("payload")
-    hit = F.exists(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(body, p)) if patterns else F.lit(False)
-    return works.withColumn("attributed", F.coalesce(hit, F.lit(False)))
+    patterns = [r[0] for r in active.limit(MAX_RULES + 1).collect()]
+    if len(patterns) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} attribution rules")
+    body = works.drop("attributed").withColumn("__body", F.lower("payload"))
+    hit = F.lit(False)
+    for lo in range(0, len(patterns), 100):  # code-generated tests of one lowered column, as a balanced tree
+        hit = hit | _any([F.contains(F.col("__body"), F.lit(p)) for p in patterns[lo : lo + 100]])
+    return body.withColumn("attributed", F.coalesce(hit, F.lit(False))).drop("__body")
+
+
+#: Rules are written by hand; the bound keeps their broadcast and the expression small.
+MAX_RULES = 10_000
+
+
+def _any(tests: list[Column]) -> Column:
+    while len(tests) > 1:
+        tests = [tests[k] | tests[k + 1] if k + 1 < len(tests) else tests[k] for k in range(0, len(tests), 2)]
+    return tests[0]
+
+
+def changed_attribution(works: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row: how many works' attribution the rules would change."""
+    new = attribution(works, rules).select("pub_id", F.col("attributed").alias("now"))
+    return works.select("pub_id", "attributed").join(new, "pub_id").agg(F.count_if(~F.col("attributed").eqNullSafe(F.col("now"))).alias("changed"))
 
 
 def coverage(works: DataFrame) -> DataFrame:
@@ -142,10 +222,10 @@ def coverage(works: DataFrame) -> DataFrame:
 def coverage_summary(works: DataFrame) -> DataFrame:
     """(metric, value): works, works of each family, works of one family, and how many have each breadth."""
     rows = works.select(families(F.col("provenance")).alias("f"))
-    total = rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total").alias("metric"), "value")
-    each = rows.select(F.explode("f").alias("x")).groupBy("x").count().select(F.concat(F.lit("family:"), F.col("x")).alias("metric"), F.col("count").alias("value"))
-    single = rows.agg(F.count_if(F.size("f") == 1).alias("value")).select(F.lit("single_source").alias("metric"), "value")
-    breadth = rows.groupBy(F.size("f").alias("n")).count().select(F.concat(F.lit("breadth:"), F.col("n")).alias("metric"), F.col("count").alias("value"))
+    total = rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total_canonical_publications").alias("metric"), "value")
+    each = rows.select(F.explode("f").alias("x")).groupBy("x").count().select(F.concat(F.lit("publications_with_family="), F.col("x")).alias("metric"), F.col("count").alias("value"))
+    single = rows.agg(F.count_if(F.size("f") == 1).alias("value")).select(F.lit("single_source_publications").alias("metric"), "value")
+    breadth = rows.groupBy(F.size("f").alias("n")).count().select(F.concat(F.lit("publications_with_n_families="), F.col("n")).alias("metric"), F.col("count").alias("value"))
     return total.unionByName(each).unionByName(single).unionByName(breadth).orderBy("metric")
 
 

@@ -200,8 +200,8 @@ def ranked_decisions(t):
     return t("customer").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("c_nationkey", "c_mktsegment", "c_custkey", "rn")
 
 
-@query("""SELECT 'total' AS metric, count(*) AS value FROM part UNION ALL SELECT 'family:' || w, count(*) FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_type), ' ')) AS w FROM part) GROUP BY w
-  UNION ALL SELECT 'single_source', count(*) FILTER (WHERE n = 1) FROM (SELECT len(list_distinct(string_split(lower(p_type), ' '))) AS n FROM part) UNION ALL SELECT 'breadth:' || n, count(*) FROM (SELECT len(list_distinct(string_split(lower(p_type), ' '))) AS n FROM part) GROUP BY n""")
+@query("""SELECT 'total_canonical_publications' AS metric, count(*) AS value FROM part UNION ALL SELECT 'publications_with_family=' || w, count(*) FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_type), ' ')) AS w FROM part) GROUP BY w
+  UNION ALL SELECT 'single_source_publications', count(*) FILTER (WHERE n = 1) FROM (SELECT len(list_distinct(string_split(lower(p_type), ' '))) AS n FROM part) UNION ALL SELECT 'publications_with_n_families=' || n, count(*) FROM (SELECT len(list_distinct(string_split(lower(p_type), ' '))) AS n FROM part) GROUP BY n""")
 def coverage_summary(t):
     return canonical.coverage_summary(t("part").select(F.col("p_partkey").alias("pub_id"), F.replace("p_type", F.lit(" "), F.lit("+")).alias("provenance")))
 
@@ -265,3 +265,9 @@ def canonical_list(t):
 
 SQL["canonical_list"] = r"""SELECT doc_id AS pub_id, min(doc_id) OVER w AS canonical_pub_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS is_canonical FROM documents
   WINDOW w AS (PARTITION BY lower(regexp_replace(trim(text, ' '), '[ \t\n\r\f\v]+', ' ', 'g')))"""
+
+
+from quillspark.plans import casebook  # noqa: E402  the queries over derived inputs
+
+QUERIES |= casebook.QUERIES
+SQL |= casebook.SQL

@@ -36,6 +36,35 @@ def run_all(jobs: dict[str, Callable[[], object]]) -> list[tuple[str, str, str |
     return log
 
 
+def status_of(log: list[tuple[str, str, str | None]]) -> int:
+    """The exit status of a run: 1 if any job failed."""
+    return int(any(status != "success" for _, status, _ in log))
+
+
+def append_log(runs: DataFrame, log: list[tuple[str, str, str | None]], at: str) -> DataFrame:
+    """The run log (job, status, error, at) with the rows of one run."""
+    new = runs.sparkSession.createDataFrame([(n, s, e, at) for n, s, e in log], "job string, status string, error string, at string")
+    return runs.unionByName(new.select("job", "status", "error", F.col("at").cast(runs.schema["at"].dataType).alias("at")))
+
+
+#: The providers in the order in which a backfill asks them, and those that only run when asked for.
+BACKFILL_ORDER = ["crossref", "openalex", "datacite", "semantic", "dblp"]
+OPT_IN = ["semantic", "dblp"]
+
+
+def backfill_jobs(jobs: dict[str, Callable[[], object]], extras: list[str]) -> dict[str, Callable[[], object]]:
+    """The providers' jobs in their fixed order, optional ones only where named."""
+    return {name: jobs[name] for name in BACKFILL_ORDER if name in jobs and (name not in OPT_IN or name in extras)}
+
+
+def stamped(old: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
+    """``new`` rows with updated_at: now where a row is new or any column differs from the old one, else as it was."""
+    columns = [c for c in new.columns if c not in (key, "updated_at")]
+    both = new.drop("updated_at").join(old.select(key, F.col("updated_at").alias("__at"), F.struct(*columns).alias("__old")), key, "left")
+    same = F.col("__at").isNotNull() & F.struct(*columns).eqNullSafe(F.col("__old"))
+    return both.withColumn("updated_at", F.when(same, F.col("__at")).otherwise(now)).drop("__at", "__old")
+
+
 def newest(batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key of a batch: the first by ``order``."""
     return top_per_group(batch, keys, order)

@@ -33,7 +33,7 @@ def test_winner_puts_unknown_preprint_last(spark):
 
 
 def test_excluded_types(spark):
-    cases = [('{"crossref":{"type":"grant"}}', False), ('{"crossref":{"type":"article"},"openalex":{"type":"paratext"}}', True), ('{"openalex":{"type":"paratext"}}', False), ("{}", True)]
+    cases = [('{"crossref":{"type":"posted-content"}}', False), ('{"crossref":{"type":"grant"}}', True), ('{"crossref":{"type":"article"},"openalex":{"type":"paratext"}}', True), ('{"openalex":{"type":"paratext"}}', False), ("{}", True)]
     got = members(spark, works(spark, *[(k, None, f"t{k}", "x", p, None) for k, (p, _) in enumerate(cases)]))
     assert sorted(got) == [k for k, (_, kept) in enumerate(cases) if kept]
 
