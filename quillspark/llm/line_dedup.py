@@ -333,9 +333,11 @@ def _near_pairs(cell: np.ndarray, sim: np.ndarray, distance: int, done: np.ndarr
 
 
 def _partnered(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, sim) sorted by both: those that another hash of their bucket is close to."""
+    """Of rows (cell, sim) sorted by cell: those that another hash of their bucket is close to."""
     for rows in _whole_buckets(batches):
         cell, sim = rows.column("cell").to_numpy(), rows.column("sim").to_numpy()
+        order = np.lexsort((sim, cell))
+        cell, sim = cell[order], sim[order]
         first = np.concatenate(([True], (cell[1:] != cell[:-1]) | (sim[1:] != sim[:-1])))
         cell, sim = cell[first], sim[first]
         found = np.arange(len(cell))  # all that have a partner get the number -1
@@ -345,7 +347,7 @@ def _partnered(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], once: str | None = None) -> Iterator[pa.Table]:
-    """Rows sorted by cell, cut between cells; of neighbours equal in ``once`` too, one stays in a batch."""
+    """Rows sorted by cell, cut between cells; of rows equal in ``once`` too, one stays in a batch. (A sort by one number alone is a radix sort.)"""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -353,8 +355,11 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], once: str | None = None) -
         cell = batch.column("cell").to_numpy()
         if once:
             value = batch.column(once).to_numpy()
-            new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (value[1:] != value[:-1])))
-            if not new.all():
+            order = np.lexsort((value, cell))
+            again = (cell[order][1:] == cell[order][:-1]) & (value[order][1:] == value[order][:-1])
+            new = np.ones(len(cell), bool)
+            new[order[1:][again]] = False
+            if again.any():
                 batch, cell = batch.filter(pa.array(new)), cell[new]
         cut = int(np.searchsorted(cell, cell[-1]))  # the last bucket may go on
         if cut:
@@ -395,6 +400,7 @@ def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: floa
     A pair that shares several keys is verified in the bucket of the least one. Rows of one ``comp`` are joined already.
     """
     for rows in _whole_buckets(batches, "line_hash"):
+        rows = rows.take(np.lexsort((rows.column("line_hash"), rows.column("size"), rows.column("cell"))))
         cell, key, sim, more, ids, sizes, comp = (rows.column(c).to_numpy() for c in ("cell", "key", "sim", "sim2", "line_hash", "size", "comp"))
         forms, keys = rows.column("form").combine_chunks(), _padded(rows.column("keys"))
         grams = Grams(forms)
@@ -454,7 +460,7 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, forms: DataFrame, distance: i
     """Links (a, b) of line hashes; ``forms`` has line_hash, sim and one occurrence (doc_id, copy, line) of each normal form."""
 
     def verified(cells: DataFrame) -> DataFrame:
-        return cells.repartition("cell").sortWithinPartitions("cell", "size", "line_hash").mapInArrow(lambda it: _verified(it, distance, similarity), "a long, b long")
+        return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _verified(it, distance, similarity), "a long, b long")
 
     crowded, same = _crowded(lines, block), durable(forms.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sim"), "same")
     n_crowded, n_same = crowded.count(), same.count()
@@ -465,7 +471,7 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, forms: DataFrame, distance: i
         always.append(dealt.join(light(crowded.select("key"), n_crowded), "key", "left_semi"))
     if n_same:  # as are lines of one SimHash
         always.append(dealt.join(light(same, n_same), "sim", "left_semi").select("key", "sim"))
-    cells = apart.withColumnRenamed("key", "cell").repartition("cell").sortWithinPartitions("cell", "sim")
+    cells = apart.withColumnRenamed("key", "cell").repartition("cell").sortWithinPartitions("cell")
     suspects = cells.mapInArrow(lambda it: _partnered(it, distance), "key long, sim long")
     for more in always:
         suspects = suspects.unionByName(more)
