@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Tables that were made and not yet removed, in order.
+_MADE: list[str] = []
 
 
 #: Bytes of a Parquet row group, and of a batch that goes to Python, and rows that a Parquet reader holds at once: 10,000 texts can be long ones.
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     return _OWN["dir"]
@@ -37,7 +41,10 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the session's batches by bytes too, where a setting is still Spark's own or larger."""
+    """Bound the session's batches by bytes too, where a setting is still Spark's own or larger.
+
+    The settings stay: results are lazy, and Spark reads them when the result is computed.
+    """
     for key, value in _BATCHES.items():
         now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= value:
@@ -48,17 +55,33 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Later reads survive the loss of any executor, prune columns, and never compute ``df`` again.
-    The files are removed when the driver's Python ends. Memory for row groups and for batches
+    The files are removed by :func:`sweep`, or when the driver's Python ends. Memory for row groups and for batches
     between the JVM and Python is bounded by bytes, not by rows alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-{what}-{uuid.uuid4().hex}"
     bound_batches(spark)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    atexit.register(_forget, spark, path)
+    # hashes and numbers fill most tables: a dictionary of them costs time and saves nothing
+    df.write.option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", "false").parquet(path)
+    if not _MADE:
+        atexit.register(lambda: sweep(spark, 0))
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables there are now: a mark for :func:`sweep`."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Remove the tables made since a mark, but the last ``keep``: for callers whose result no longer needs them."""
+    gone = _MADE[mark : len(_MADE) - keep]
+    del _MADE[mark : len(_MADE) - keep]
+    for path in gone:
+        _forget(spark, path)
+
+
 #: Rows (or list entries) that a broadcast side may have: about 20 MB.
 BROADCAST_ROWS = 600_000
 
