@@ -5,13 +5,12 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import bpe, components, decontaminate, digest, langid, line_dedup, minhash, mixing_lm, ordinal, queries, sharding, token_scan
+from quillspark.llm import bpe, components, decontaminate, digest, langid, line_dedup, minhash, ordinal, queries, sharding, token_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -222,37 +221,6 @@ def test_decontamination(spark, docs, empty, texts, bound):
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts)
 
 
-def test_lm_scores(docs, empty, texts):
-    got = by_id(mixing_lm.score_documents(docs))
-    counts: Counter = Counter()
-    for k, t in enumerate(texts):
-        if zlib.crc32(str(k).encode()) % 7 != 2:
-            counts.update([*(t or "").encode().translate(FOLD).split(), None])
-    total, kinds = sum(counts.values()), len(counts)
-    for k, t in enumerate(texts):
-        w, r = [*(t or "").encode().translate(FOLD).split(), None], got[k]
-        assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w), rel_tol=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), total, zlib.crc32(str(k).encode()) % 7 == 2)
-        assert math.isfinite(r.score) and r.score < 0
-    assert mixing_lm.score_documents(empty).count() == 0
-
-
-def test_rare_words_come_by_the_join(docs, monkeypatch):
-    want = by_id(mixing_lm.score_documents(docs))
-    monkeypatch.setattr(mixing_lm.common_words, "__defaults__", (3,))
-    got = by_id(mixing_lm.score_documents(docs))
-    assert all(math.isclose(got[k].base_score, r.base_score, rel_tol=1e-9) and got[k].n_known == r.n_known for k, r in want.items())
-
-
-def test_bits_are_a_distribution():
-    """The probabilities of all next decisions of a text sum to one: both bits of a decision cost together what logistic gives."""
-    code = mixing_lm.Code(np.arange(257))
-    assert math.isclose(sum(2.0**-n for n in code.length.tolist()), 1.0)
-    model = mixing_lm.Model(code, np.zeros((mixing_lm.CONTEXTS, 1 << mixing_lm.SLOT_BITS), np.int8))
-    bits = model.bits(np.frombuffer(b"abc", np.uint8), np.array([0, 3]))
-    assert math.isclose(bits[0], sum(code.length[b] for b in b"abc") + code.length[256], rel_tol=1e-6)
-
-
 def test_language_id(spark, empty):
     rng = random.Random(6)
     pools = {"aa": ["kato", "mira", "sul", "kira", "tomi"], "bb": ["wexel", "druz", "schaff", "wonk", "zept"]}
