@@ -10,7 +10,10 @@ cut. Nothing needs an index or whole files in memory.
 
 Defined cases: two separators in a row enclose a document of 0 tokens; tokens
 after the last separator are one more document with ``closed`` false; an empty
-file or table gives no rows; a width that does not divide a block is an error.
+file or table gives no rows; a width that does not divide a block is an error, as are
+ids that a width cannot hold; null and empty texts are documents of 0 tokens; rows with
+one doc_id, and equal rows, are counted each for itself; other columns are ignored; a
+text of any length is encoded as a whole, by pieces of the pre-tokeniser.
 """
 
 from __future__ import annotations
@@ -45,48 +48,77 @@ def _summaries(batches: Iterator[pa.RecordBatch], separator: int, kind: str) ->
 
 
 def count_tokens(blocks: DataFrame, separator: int, kind: str = "<u2") -> DataFrame:
-    """One row for each document: file, ordinal (from 0), start_token, n_tokens, closed."""
-    found = blocks.select("file", "block", "data").mapInArrow(lambda it: _summaries(it, separator, kind), "file string, block long, n long, seps array<int>")
+    """One row for each document: file, ordinal (from 0), start_token, n_tokens, closed.
+
+    The prefix scan sees three numbers of each block; separators stay where they were found.
+    """
+    found = durable(blocks.select("file", "block", "data").mapInArrow(lambda it: _summaries(it, separator, kind), "file string, block long, n long, seps array<int>"), "separators")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last_end = F.when(F.size("seps") > 0, F.col("at") + F.element_at("seps", -1) + 1)
+    numbers = found.select("file", "block", "n", F.size("seps").alias("m"), F.try_element_at("seps", F.lit(-1)).alias("last"))
+    last_end = F.when(F.col("m") > 0, F.col("at") + F.col("last") + 1)
     scanned = (
-        found.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("ordinal", F.coalesce(F.sum(F.size("seps")).over(before), F.lit(0)))
+        numbers.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("ordinal", F.coalesce(F.sum("m").over(before), F.lit(0)))
         .withColumn("open_from", F.coalesce(F.max(last_end).over(before), F.lit(0)))
-        .withColumn("is_last", F.col("block") == F.max("block").over(Window.partitionBy("file")))
+        .withColumn("rest_from", F.coalesce(last_end, F.col("open_from")))
+        .withColumn("file_end", F.when(F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull(), F.col("at") + F.col("n")))
     )
+    scanned = durable(scanned.drop("n", "last"), "scan")
     ends = F.transform("seps", lambda s: s + F.col("at"))
-    closed = scanned.select("file", "ordinal", "open_from", F.posexplode(ends).alias("k", "end"), ends.alias("ends"))
+    closed = found.filter(F.size("seps") > 0).select("file", "block", "seps").join(scanned, ["file", "block"])
+    closed = closed.select("file", "ordinal", "open_from", F.posexplode(ends).alias("k", "end"), ends.alias("ends"))
     closed = closed.select(
         "file", (F.col("ordinal") + F.col("k")).alias("ordinal"),
         F.when(F.col("k") == 0, F.col("open_from")).otherwise(F.get("ends", F.col("k") - 1) + 1).alias("start_token"), "end", F.lit(True).alias("closed"),
     )
-    file_end = F.col("at") + F.col("n")
-    rest_from = F.coalesce(last_end, F.col("open_from"))
-    rest = scanned.filter(F.col("is_last") & (file_end > rest_from)).select(
-        "file", (F.col("ordinal") + F.size("seps")).alias("ordinal"), rest_from.alias("start_token"), file_end.alias("end"), F.lit(False).alias("closed")
-    )
+    rest = scanned.filter("file_end > rest_from").select("file", (F.col("ordinal") + F.col("m")).alias("ordinal"), F.col("rest_from").alias("start_token"), F.col("file_end").alias("end"), F.lit(False).alias("closed"))
     return closed.unionByName(rest).select("file", "ordinal", "start_token", (F.col("end") - F.col("start_token")).alias("n_tokens"), "closed")
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    places: dict[str, tuple] = {}
+    for batch in batches:
+        for file, block in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            scheme = file.split(":")[0] if "://" in file or file.startswith("file:") else "file"
+            if scheme not in places:
+                places[scheme] = fs.FileSystem.from_uri(file)[0] if scheme != "file" else fs.LocalFileSystem()
+            path = file.removeprefix("file:").replace("///", "/", 1) if scheme == "file" else fs.FileSystem.from_uri(file)[1]
+            with places[scheme].open_input_file(path) as f:
+                body = f.read_at(block_bytes, block * block_bytes)
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([body], pa.binary())], ["file", "block", "data"])
+
+
 def flat_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of the binary files under ``path`` (each at most 2 GiB, which is Spark's limit for one value)."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    last = F.expr(f"cast(greatest(0, (length - 1) div {block_bytes}) as long)")
-    blocks = whole.filter("length > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return blocks.select("file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("data"))
+    """Blocks of the files under ``path``, whatever their size: the driver lists names and lengths, each task reads its ranges (local, HDFS or S3 paths)."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    files = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    known = spark.createDataFrame(files, "file string, length long").filter("length > 0")
+    blocks = known.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block_bytes}"))).alias("block"))
+    return blocks.repartition("file", "block").mapInArrow(lambda it: _ranges(it, block_bytes), "file string, block long, data binary")
 
 
 _ROWS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("data", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
 
-def write_flat(docs: DataFrame, ranks: Ranks, separator: int, kind: str = "<u2", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def kind_for(ranks: Ranks, separator: int) -> str:
+    """The narrowest token type that holds every id and the separator."""
+    return "<u2" if max(separator, len(ranks.tokens) - 1) < 1 << 16 else "<u4"
+
+
+def write_flat(docs: DataFrame, ranks: Ranks, separator: int, kind: str | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Encode documents into flat files, one for each partition: (blocks, manifest of file, ordinal, doc_id).
 
     Blocks are cut at ``block_bytes`` without regard to documents and kept in the shared folder.
     """
     if separator in range(len(ranks.tokens)) and ranks.tokens[separator]:
         raise ValueError("the separator is a token of the vocabulary")
+    kind = kind or kind_for(ranks, separator)
+    if max(separator, len(ranks.tokens) - 1) > np.iinfo(kind).max:
+        raise ValueError(f"ids up to {max(separator, len(ranks.tokens) - 1)} do not fit {kind}")
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key = shared._jbroadcast.id()
 
@@ -124,5 +156,5 @@ def write_flat(docs: DataFrame, ranks: Ranks, separator: int, kind: str = "<u2",
 def document_token_counts(docs: DataFrame, ranks: Ranks, separator: int) -> DataFrame:
     """doc_id, n_tokens, file, start_token of all documents, counted in flat files written from them."""
     blocks, manifest = write_flat(docs, ranks, separator)
-    counts = count_tokens(blocks, separator)
+    counts = count_tokens(blocks, separator, kind_for(ranks, separator))
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start_token")
