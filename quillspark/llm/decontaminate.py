@@ -12,7 +12,9 @@ The windows go to the executors as one broadcast only while they number at most
 
 Defined cases: a null or empty text has no words, hits nothing and is clean; an
 item without words is ignored; repeated items count each for themselves;
-repeated documents get one result row each; either table may be empty.
+repeated documents get one result row each; either table may be empty; a text of any
+length is scanned as a whole, in memory of about 40 times its bytes; ``docs`` may have
+any other columns (:func:`mark` replaces those of its results, :func:`clean` none).
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillspark.llm.durable import durable
 from quillspark.llm.textnum import ALNUM, Words, joined, pieces, raw
 
 N = 13
@@ -35,14 +38,15 @@ N = 13
 MAX_WINDOWS = 400_000
 _FILTER_BITS = 22
 
+_OWN = "__quillspark_"
 RESULT = T.StructType(
     [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("n_items", T.LongType()),
-        T.StructField("items_sha256", T.StringType()),
-        T.StructField("contaminated", T.BooleanType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField(_OWN + "n_words", T.LongType()),
+        T.StructField(_OWN + "n_hit", T.LongType()),
+        T.StructField(_OWN + "n_items", T.LongType()),
+        T.StructField(_OWN + "items_sha256", T.StringType()),
+        T.StructField(_OWN + "contaminated", T.BooleanType()),
+        T.StructField(_OWN + "spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]
 )
 
@@ -128,31 +132,52 @@ def _scan(batches: Iterator[pa.RecordBatch], look: Lookup, schema: pa.Schema) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema=schema)
 
 
+_ROW = "__quillspark_row"
+
+
 def _windows_of(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """(row, hash, length, at, words) of every word window of every text, for the shuffled way."""
+    """(row, hash, length, at) of every word window of every text: numbers only."""
     for whole in batches:
         for batch in pieces(whole, limit=1 << 18):
             words = Words(*raw(batch.column("text")), ALNUM)
-            hashes, rows = words.hashes(), batch.column("__row").to_numpy()
+            hashes, rows = words.hashes(), batch.column(_ROW).to_numpy()
             doc = np.repeat(np.arange(batch.num_rows), words.counts)
             last_of = words.bounds[1:][doc]
             for size in sizes:
                 windows = joined(hashes, size)
                 ok = np.flatnonzero(np.arange(size, len(words) + 1)[: len(windows)] <= last_of[: len(windows)])
-                for lo in range(0, len(ok), 20_000):
-                    at = ok[lo : lo + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[doc[at]]), pa.array(windows[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array((at - words.bounds[doc[at]]).astype(np.int32)), pa.array([words.lowered(i, i + size) for i in at.tolist()], pa.binary())],
-                        ["__row", "hash", "length", "at", "words"],
-                    )
+                for lo in range(0, len(ok), 100_000):
+                    at = ok[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc[at]]), pa.array(windows[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array((at - words.bounds[doc[at]]).astype(np.int32))], [_ROW, "hash", "length", "at"])
+
+
+def _words_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, hash, length, at, words) of the windows whose hash is a benchmark's."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for whole in batches:
+        for batch in pieces(whole, limit=1 << 18):
+            words, out = Words(*raw(batch.column("text")), ALNUM), []
+            for k, (row, maybe) in enumerate(zip(batch.column(_ROW).to_pylist(), batch.column("maybe").to_pylist(), strict=True)):
+                first = int(words.bounds[k])
+                out += [(row, m["hash"], m["length"], m["at"], words.lowered(first + m["at"], first + m["at"] + m["length"])) for m in maybe]
+            for lo in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out[lo : lo + 20_000]], kind) for j, kind in enumerate(kinds)], [_ROW, "hash", "length", "at", "words"])
 
 
 def _joined_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same result with both sides shuffled on the window hash: for benchmarks beyond the bound."""
+    """The same result with both sides shuffled on the window hash: for benchmarks beyond the bound.
+
+    Rows get a number that is kept in a table, so no two rows are ever one. Hashes meet first; the
+    words of hits only are then compared.
+    """
+    windows = durable(windows, "windows")
     sizes = [r[0] for r in windows.select("length").distinct().collect()]  # at most n of them
-    rows = docs.withColumn("__row", F.xxhash64("text"))
-    found = rows.select("__row", "text").distinct().mapInArrow(lambda it: _windows_of(it, sizes), "__row long, hash long, length int, at int, words binary")
-    hits = found.join(windows, ["hash", "length", "words"]).groupBy("__row").agg(F.collect_set(F.struct("at", "length")).alias("__at"), F.array_sort(F.collect_set("item_id")).alias("__items"))
+    rows = durable(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    scanned = rows.select(_ROW, "text").mapInArrow(lambda it: _windows_of(it, sizes), f"{_ROW} long, hash long, length int, at int")
+    maybe = scanned.join(windows.select("hash", "length").distinct(), ["hash", "length"], "left_semi").groupBy(_ROW).agg(F.collect_list(F.struct("hash", "length", "at")).alias("maybe"))
+    found = rows.select(_ROW, "text").join(maybe, _ROW).mapInArrow(_words_at, f"{_ROW} long, hash long, length int, at int, words binary")
+    spans, items = "__quillspark_at", "__quillspark_items"
+    hits = found.join(windows, ["hash", "length", "words"]).groupBy(_ROW).agg(F.collect_set(F.struct("at", "length")).alias(spans), F.array_sort(F.collect_set("item_id")).alias(items))
     fields = [f.name for f in docs.schema.fields]
     schema = T.StructType([*docs.schema.fields, *RESULT.fields])
     plain = to_arrow_schema(schema)
@@ -161,21 +186,19 @@ def _joined_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole):
                 counts, out = Words(*raw(batch.column("text")), ALNUM).counts, []
-                for n_words, spans, items in zip(counts.tolist(), batch.column("__at").to_pylist(), batch.column("__items").to_pylist(), strict=True):
-                    hit = np.zeros(n_words, bool) if spans else None
-                    for s in spans or []:
+                for n_words, hit_at, of in zip(counts.tolist(), batch.column(spans).to_pylist(), batch.column(items).to_pylist(), strict=True):
+                    hit = np.zeros(n_words, bool) if hit_at else None
+                    for s in hit_at or []:
                         hit[s["at"] : s["at"] + s["length"]] = True
-                    out.append(_result(n_words, hit, set(items or [])))
+                    out.append(_result(n_words, hit, set(of or [])))
                 cols = [pa.array([r[j] for r in out], plain.field(len(fields) + j).type) for j in range(6)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in fields], *cols], schema=plain)
 
-    return rows.join(hits, "__row", "left").select(*fields, "__at", "__items").mapInArrow(finish, schema)
+    return rows.join(hits, _ROW, "left").select(*fields, spans, items).mapInArrow(finish, schema)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and spans ([first, last+1] word ranges that are hit)."""
-    clash = {f.name for f in RESULT.fields} & set(docs.columns)
-    docs = docs.drop(*clash) if clash else docs
+def _marked(docs: DataFrame, benchmark: DataFrame, n: int, max_windows: int) -> DataFrame:
+    """``docs`` with the private columns of :data:`RESULT`."""
     windows = item_windows(benchmark, n)
     rows = [tuple(r) for r in windows.limit(max_windows + 1).collect()]  # bounded; the size decides the way
     if len(rows) > max_windows:
@@ -186,6 +209,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = M
     return docs.mapInArrow(lambda it: _scan(it, look.value, plain), schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """Only documents that are not contaminated, with their own columns."""
-    return mark(docs, benchmark, n).filter(~F.col("contaminated")).select(*docs.columns)
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and spans ([first, last+1] word ranges that are hit), in place of columns of these names."""
+    names = {f.name: f.name.removeprefix(_OWN) for f in RESULT.fields}
+    return _marked(docs.drop(*names.values()), benchmark, n, max_windows).withColumnsRenamed(names)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """Only documents that are not contaminated, with all their own columns as they are."""
+    return _marked(docs, benchmark, n, max_windows).filter(f"not {_OWN}contaminated").select(*docs.columns)
