@@ -14,7 +14,9 @@ Prediction covers every whole text and uses the text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the language with more training texts, then by name; n-grams never
-cross documents; if no labelled text exists all is ``und``.
+cross documents; if no labelled text exists all is ``und``; repeated rows count each
+for itself, in training and in the result; a text of any length is read as a whole, in
+memory of about 60 times its bytes; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillspark.llm.durable import durable
 from quillspark.llm.textnum import LOWER, mix, pieces
 
 MAX_PER_LANGUAGE = 8000
@@ -38,6 +41,8 @@ SHARE = 0.4
 SLOT_BITS = 21
 TABLE_BITS = 21
 UNKNOWN = "und"
+#: Tables of counts (8 MB each) that a worker holds at once.
+MOST_TABLES = 16
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not (97 <= LOWER[b] <= 122)]] = 32
@@ -87,6 +92,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[lang] = np.zeros(1 << SLOT_BITS, np.int32)
                 np.add.at(counts[lang], slots[bounds[k] : bounds[k + 1]], 1)
                 docs[lang] = docs.get(lang, 0) + 1
+        if len(counts) > MOST_TABLES:
+            yield from _told(counts, docs)
+            counts, docs = {}, {}
+    yield from _told(counts, docs)
+
+
+def _told(counts: dict[str, np.ndarray], docs: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for lang, c in counts.items():
         at = np.flatnonzero(c)
         for lo in range(0, len(at), 50_000):
@@ -152,35 +164,40 @@ def train(labelled: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Filt
     rank = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     bound = F.create_map(*[F.lit(x) for x in itertools.chain.from_iterable((k, min(1 << 30, (max_per_language << 30) // n)) for k, n in sizes.items())])
     picked = rows.filter(rank < bound[F.col("lang")]).select("text", "lang")
-    counted = picked.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    found = counted.filter((F.col("n") >= MIN_COUNT) | (F.col("slot") < 0)).toArrow()  # bounded by languages x slots
-    lang, slot, n = np.array(found["lang"].to_pylist(), object), found["slot"].to_numpy(), found["n"].to_numpy()
-    docs = {k: int(c) for k, c in zip(lang[slot < 0], n[slot < 0], strict=True)}
+    counted = durable(picked.mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "grams")
+    docs = {r[0]: r[1] for r in counted.filter("slot < 0").select("lang", "n").collect()}
+    seen = counted.filter((F.col("n") >= MIN_COUNT) & (F.col("slot") >= 0))
+    totals = seen.groupBy("lang").agg(F.sum("n").alias("total"))
+    rates = seen.join(F.broadcast(totals), "lang").select("lang", "slot", (F.col("n") / F.col("total")).alias("rate"))  # one row for each language
+    top = rates.groupBy("slot").agg(F.max("rate").alias("top"))
+    found = rates.join(top, "slot").filter(F.col("rate") >= SHARE * F.col("top")).groupBy("lang").agg(F.collect_list("slot").alias("slots"))
+    typical = {r[0]: np.sort(np.array(r[1], np.int64)) for r in found.collect()}  # what the filters hold: few languages share an n-gram
     langs = sorted(docs, key=lambda k: (-docs[k], k))
-    rates = np.zeros((len(langs), 1 << SLOT_BITS), np.float32)
-    for k, name in enumerate(langs):
-        own = (lang == name) & (slot >= 0)
-        rates[k, slot[own]] = n[own] / max(1, n[own].sum())
-    top = rates.max(0)
-    return Filters(langs, [np.flatnonzero((r > 0) & (r >= SHARE * top)) for r in rates])
+    return Filters(langs, [typical.get(k, np.zeros(0, np.int64)) for k in langs])
 
 
-def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, in place of columns of these names."""
+    docs = docs.drop(*names)
     known = docs.sparkSession.sparkContext.broadcast(filters)  # bounded: languages/64 x 2**TABLE_BITS words
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     plain = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                names, scores = known.value.predict(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=plain)
+                found, scores = known.value.predict(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], schema=plain)
 
     return docs.mapInArrow(run, schema)
 
 
+def of_known_language(docs: DataFrame, filters: Filters) -> DataFrame:
+    """Documents of which a language is known, with all their own columns as they are."""
+    own = ("__quillspark_lang", "__quillspark_score")
+    return identify(docs, filters, own).filter(F.col(own[0]) != UNKNOWN).select(*docs.columns)
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     """Train on the labelled documents that are not held out, then predict all: doc_id, held_out, lang_pred, score."""
     filters = train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
