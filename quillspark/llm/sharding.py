@@ -10,7 +10,8 @@ number, n and the seed alone (:func:`place_of`).
 Defined cases: a null text has no bytes and counts as empty; rows that agree in
 all key columns are counted first and numbered one after another, so a key
 repeated in any share of the rows costs one row of the window; an empty table
-gives an empty result.
+gives an empty result; a long text is only measured and summed up; ties between equal
+keys are broken by number, which makes no difference; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 ROUNDS = 6
+#: Rows of one key that are numbered from one array.
+RUN = 1 << 16
 #: The domain is less than twice n, so a step leaves 0..n-1 with probability under 1/2.
 WALK = 64
 
@@ -117,7 +120,10 @@ def row_numbers(df: DataFrame, keys: list[str], number: str = "row_number", buck
     inside = Window.partitionBy("__bucket").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("__n").over(inside), F.lit(0)) + F.col("__start")
     placed = counted.join(F.broadcast(starts), "__bucket").withColumn("__first", first)
-    return placed.select(*keys, F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1)).alias(number))
+    # a key's copies are numbered in runs, so that no array grows with their count
+    end = F.col("__first") + F.col("__n") - 1
+    runs = placed.select(*keys, end.alias("__end"), F.explode(F.sequence(F.col("__first"), end, F.lit(RUN).cast("long"))).alias("__from"))
+    return runs.select(*keys, F.explode(F.sequence(F.col("__from"), F.least("__end", F.col("__from") + RUN - 1))).alias(number))
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int, seed: int = 17) -> DataFrame:
