@@ -24,7 +24,10 @@ are cut into blocks of bounded size.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became a-z; a text of
 fewer words than a shingle, but not none, is one shingle; null and empty texts
-have an empty set and link with nothing; rows with one doc_id are one node.
+have an empty set and link with nothing; rows with one doc_id are one node, which is
+linked if any of their texts is; equal rows are one text; ties go to the least doc_id; a
+long text is read as a whole, in memory of about 60 times its bytes; an empty table gives
+an empty result; :func:`drop_near_duplicates` leaves all other columns as they are.
 """
 
 from __future__ import annotations
@@ -312,9 +315,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar."""
     used = durable(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "used")
-    texts = durable(docs.join(light(used, used.count()), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
+    texts = durable(docs.join(light(used, used.count()), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), "text").dropDuplicates(["doc_id", "copy"]).drop("copy"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return durable(both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long"), "links")
+    return durable(both.mapInArrow(lambda it: _confirm(it, size, percent), "a long, b long").distinct(), "links")
 
 
 def _open_blocks(members: DataFrame, found: DataFrame, way: str) -> DataFrame:
@@ -342,7 +345,8 @@ def _with_lowest(blocks: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     held = durable(blocks, "blocks")
     used = durable(held.select(F.col("id").alias("doc_id")).distinct(), "used")
     texts = docs.join(light(used, used.count()), "doc_id", "left_semi").select("doc_id", "text")
-    low = durable(texts.mapInArrow(lambda it: _lowest(it, size), "id long, n long, low array<long>").dropDuplicates(["id", "n"]), "lowest")
+    low = durable(texts.mapInArrow(lambda it: _lowest(it, size), "id long, n long, low array<long>").groupBy("id", "n").agg(F.min("low").alias("low"), F.max("low").alias("other")), "lowest")
+    low = low.select("id", "n", F.when(F.col("low") == F.col("other"), F.col("low")).alias("low"))  # two sets of one id are not decided here
     return held.join(low, ["id", "n"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
 
 
