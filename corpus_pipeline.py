@@ -7,7 +7,11 @@ their predecessor kept; none reads beside it more than the benchmark table.
 
 Defined cases: documents without a letter (null and empty texts too) go in the
 first stage; documents that lose every line go in the second; of each group of
-near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays.
+near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays, and
+rows with one doc_id go or stay together there; repeated rows lose the same lines; columns
+beside those of ``documents``, whatever their names, come through all stages but the last
+as they are; an empty table gives an empty result; a null doc_id is a document as any
+other but in near-dedup, where it stays; long texts need what the operators say.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, langid, line_dedup, minhash
-from quillspark.llm.durable import durable
+from quillspark.llm.durable import durable, made, sweep
 from quillspark.llm.queries import public_ranks
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents that are not held out; documents that are no language go."""
     filters = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return langid.identify(docs, filters).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.of_known_language(docs, filters)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,15 +58,15 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL has neither SimHash with edit distance nor BPE: the tests hold run() against brute force.
+#: SQL has neither SimHash with edit distance nor BPE: the tests hold each stage against brute force, and run() against the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        mark = made()
+        docs = durable(stage(spark, docs, sf_dir), name)
+        sweep(spark, mark, keep=1)  # the stage's own tables go; its result, and what was before, stay
+    return STAGES[-1][1](spark, docs, sf_dir)
