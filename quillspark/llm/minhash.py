@@ -27,7 +27,8 @@ fewer words than a shingle, but not none, is one shingle; null and empty texts
 have an empty set and link with nothing; rows with one doc_id are one node, which is
 linked if any of their texts is; equal rows are one text; ties go to the least doc_id; a
 long text is read as a whole, in memory of about 60 times its bytes; an empty table gives
-an empty result; :func:`drop_near_duplicates` leaves all other columns as they are.
+an empty result; a null doc_id is the least of all, and a component_id is null where it
+is in the group; :func:`drop_near_duplicates` leaves all other columns as they are.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ BLOCK = 4096
 AGREE = 44
 #: Least 32-bit hashes that stand for a set in the last round, and deviations of an estimate from them that end a pair.
 LOWEST, SIGMAS = 512, 5
+#: Stands for a null doc_id inside: the least of all.
+NO_ID = -(1 << 63)
 _U = np.uint64
 _FACTORS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=_U)) | _U(1)
 _LOWER = LOWER.tobytes()
@@ -306,8 +309,9 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
     for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
         a, b, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
         for k in range(batch.num_rows):
-            if a[k] != last:
-                last, mine = a[k], shingle_set(batch.column("text_a")[k].as_py(), size)
+            text = batch.column("text_a")[k].as_py()
+            if (a[k], text) != last:  # an id may have several texts
+                last, mine = (a[k], text), shingle_set(text, size)
             good.append(similar(mine, shingle_set(batch.column("text_b")[k].as_py(), size), percent))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -340,19 +344,19 @@ def _open_blocks(members: DataFrame, found: DataFrame, way: str) -> DataFrame:
     return left.unionByName(right)
 
 
-def _with_lowest(blocks: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``blocks`` with the least hashes of their members, from the texts of these members only."""
+def _with_lowest(blocks: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """``blocks`` with the least hashes of their members, from the texts of these members only; and their number."""
     held = durable(blocks, "blocks")
     used = durable(held.select(F.col("id").alias("doc_id")).distinct(), "used")
     texts = docs.join(light(used, used.count()), "doc_id", "left_semi").select("doc_id", "text")
     low = durable(texts.mapInArrow(lambda it: _lowest(it, size), "id long, n long, low array<long>").groupBy("id", "n").agg(F.min("low").alias("low"), F.max("low").alias("other")), "lowest")
     low = low.select("id", "n", F.when(F.col("low") == F.col("other"), F.col("low")).alias("low"))  # two sets of one id are not decided here
-    return held.join(low, ["id", "n"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>")))
+    return held.join(low, ["id", "n"], "left").withColumn("low", F.coalesce("low", F.array().cast("array<long>"))), held.count()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over confirmed links), kept; one row for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     marked = durable(docs.mapInArrow(lambda it: _signatures(it, shingle), "doc_id long, n long, h1 long, h2 long, u array<long>, v array<long>, sketch array<tinyint>"), "signatures")
     sets = durable(marked.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.any_value("u").alias("u"), F.any_value("v").alias("v"), F.any_value("sketch").alias("sketch")), "sets")
     tables = f"flatten(transform(u, (x, i) -> transform(v, (y, j) -> struct(xxhash64(x, y, i, j) as key, i * {SIDE} + j as t))))"
@@ -367,9 +371,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     found = components(links)
     for way in ("hub", "best", "all"):
         blocks = _open_blocks(members, found, way).join(sets.select("id", "u", "v", "sketch"), "id")
-        if way == "all":
-            blocks = _with_lowest(blocks, docs, shingle)
-        blocks = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        if way == "all":  # few bytes but much work in a row: partitions by rows
+            blocks, n_rows = _with_lowest(blocks, docs, shingle)
+            blocks = blocks.repartition(1 + n_rows // BLOCK, "key", "x", "y")
+        else:
+            blocks = blocks.repartition("key", "x", "y")
+        blocks = blocks.sortWithinPartitions("key", "x", "y")
         more = blocks.mapInArrow(partial(_crossing, percent=percent, way=way), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = durable(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
@@ -382,7 +389,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     by_set = sets.select("n", "h1", "h2", "id").join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("component_id", "id").alias("component_id"))
     joined_rows = marked.select("doc_id", "n", "h1", "h2").join(by_set, ["n", "h1", "h2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return joined_rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = lambda c: F.nullif(c, F.lit(NO_ID))
+    return joined_rows.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
