@@ -5,12 +5,13 @@ An input is one SQL text that Spark and DuckDB both read; ``{part}`` and the lik
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates, payloads, text
+from quillspark.functions import dates, payloads, registered, text
 from quillspark.operators import relational as r
 from quillspark.plans import canonical, curation, people, works
 from quillspark.session import table
@@ -751,3 +752,52 @@ def merged_people(g):
     merges = g.spark.createDataFrame([(2, 3), (3, 4), (4, 5)], "loser long, winner long")
     got = people.merge_people({"authorships": rows}, merges)["authorships"]
     return got.groupBy(F.col("person_id").alias("person")).agg(r.ordered_text(F.col("pub_id").cast("string"), ",").alias("works"))
+
+
+# ---- SQL functions, scopes, landed payloads
+
+@query(f"SELECT pub_id, {_doi('doi')} AS dk, {_title('title')} AS tk, sha256(lower(title || '|' || venue)) AS nk FROM w", "w")
+def sql_functions(g):
+    registered.register(g.spark)
+    return g.w.selectExpr("pub_id", "qs_doi_key(doi) AS dk", "qs_title_key(title) AS tk", "qs_name_key(title, venue) AS nk")
+
+
+@query("SELECT pub_id, place, token FROM (SELECT pub_id, CAST(i AS INT) AS place, lower(trim(string_split(provenance, '+')[i])) AS token FROM (SELECT pub_id, provenance, unnest(range(1, len(string_split(provenance, '+')) + 1)) AS i FROM w WHERE provenance IS NOT NULL) x) y WHERE token <> ''", "w")
+def sql_table_function(g):
+    registered.register(g.spark)
+    return g.spark.sql("SELECT w.pub_id, t.place, t.token FROM {w} AS w, LATERAL qs_tokens(w.provenance) AS t", w=g.w)
+
+
+@query("""SELECT CASE WHEN n = 0 THEN -1 ELSE 1 END AS kind, doi_key, mode, active FROM (SELECT 1 AS n, '10.1234/s' || pub_id AS doi_key, 'include' AS mode, pub_id % 3 <> 0 AND NOT (pub_id % 4 = 0) AS active FROM s UNION ALL SELECT 1, '10.1234/s' || pub_id, 'include', TRUE FROM s WHERE pub_id % 4 = 0 UNION ALL SELECT 0, '10.1234/s' || pub_id, 'exclude', TRUE FROM s WHERE pub_id % 4 = 0) x""", s=STORED)
+def scope_writes(g, s):
+    n, none = F.col("pub_id"), F.lit(None).cast("string")
+    rows = s.select(n.alias("decision_id"), F.lit("global").alias("scope_type"), F.lit(None).cast("long").alias("person_id"), F.lit("include").alias("mode"), F.col("doi").alias("doi_key"), none.alias("title_key"), F.lit(None).cast("int").alias("year"), none.alias("note"), F.lit("old").alias("updated_at"), (n % 3 != 0).alias("active"))
+    own = s.filter("pub_id % 4 = 0").select((n + 1_000_000).alias("decision_id"), F.lit("person").alias("scope_type"), F.lit(5).cast("long").alias("person_id"), F.lit("include").alias("mode"), F.col("doi").alias("doi_key"), none.alias("title_key"), F.lit(None).cast("int").alias("year"), none.alias("note"), F.lit("old").alias("updated_at"), F.lit(True).alias("active"))
+    asked = s.filter("pub_id % 4 = 0").select("pub_id", F.lit("global").alias("scope_type"), F.lit(None).cast("long").alias("person_id"), F.lit("exclude").alias("mode"), none.alias("note"))
+    got = curation.decide_scope(rows.unionByName(own), asked, s, F.lit("now"))
+    return got.select(F.when(F.col("mode") == "exclude", -1).otherwise(1).alias("kind"), "doi_key", "mode", "active")
+
+
+@query(_values([("10.1234/c", "T", 2022, "J", "crossref+openalex-affiliation", True, True), ("10.1234/o", "T", 2020, "J", "openalex-affiliation", False, True)], "doi, title, year, venue, provenance, is_preprint, has_openalex"))
+def landed_in_stages(g):
+    """A work from one provider, then with more from another, then both once more: the same rows."""
+    empty = g.spark.createDataFrame([], "pub_id long, doi string, title string, year int, venue string, provenance string, payload string, is_preprint boolean")
+    second = '{"doi":"10.1234/C","title":"","type":"article","publication_year":null}'
+    alex = g.spark.createDataFrame([(1, second), (2, OPENALEX)], "payload_id long, payload string")
+    now = empty
+    for _ in range(2):
+        now = works.ingest_payloads(works.ingest_payloads(now, _payloads(g, "crossref"), "crossref"), alex, "openalex", "openalex-affiliation")
+    return now.withColumn("is_preprint", F.col("doi") == "10.1234/c").select("doi", "title", "year", "venue", "provenance", "is_preprint", payloads.has_key(F.col("payload"), "openalex").alias("has_openalex"))
+
+
+@query(_values([("10.1/a", 1, 7, True), ("10.1/a", 2, 8, False), ("10.1/b", 1, 7, True)], "doi, author_position, person_id, is_internal"))
+def orcid_ingest(g):
+    body = lambda *dois: json.dumps({"group": [{"work-summary": [{"put-code": 1, "title": {"title": {"value": "T"}}, "external-ids": {"external-id": [{"external-id-type": "doi", "external-id-value": d}]}}]} for d in dois]})
+    records = g.spark.createDataFrame([("0000-0002-1825-0097", body("10.1000/A", "10.1000/b", "no doi")), ("0000-0002-1694-233X", body("10.1000/A"))], "person_orcid string, payload string")
+    persons = g.spark.createDataFrame([(7, "Ann Lee", "0000-0002-1825-0097", "internal"), (8, "Bob Ray", "0000-0002-1694-233X", "external")], "person_id long, display_name string, orcid string, person_kind string")
+    aliases = g.spark.createDataFrame([], "person_id long, alias_name string")
+    ws = g.spark.createDataFrame([], "pub_id long, doi string, title string, year int, venue string, provenance string, payload string, is_preprint boolean")
+    a = g.spark.createDataFrame([], "pub_id long, author_position int, person_id long, author_name string, author_orcid string, paper_orcid string, affiliations array<string>, paper_affiliation string, raw_author string, is_corresponding boolean, is_internal boolean, order_tag string, equal_contrib_tag string")
+    for _ in range(2):
+        ws, a = works.ingest_orcid(ws, a, records, persons, aliases)
+    return a.join(ws.select("pub_id", "doi"), "pub_id").select(F.replace("doi", F.lit("10.1000"), F.lit("10.1")).alias("doi"), "author_position", "person_id", "is_internal")

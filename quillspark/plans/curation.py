@@ -126,3 +126,18 @@ def page(rows: list[dict], limit: int, key: str = "pub_id") -> str:
     """The JSON envelope of a page that was read with one row more than its limit."""
     items = rows[:limit]
     return json.dumps({"items": items, "limit": limit, "next_after": items[-1][key] if len(rows) > limit else None})
+
+
+SCOPE = ["decision_id", "scope_type", "person_id", "mode", "doi_key", "title_key", "year", "note", "updated_at", "active"]
+
+
+def decide_scope(scopes: DataFrame, requests: DataFrame, works: DataFrame, now: Column) -> DataFrame:
+    """Scope decisions after requests (pub_id, scope_type, person_id, mode, note); the active ones of the same scope, person and work are switched off."""
+    rows = requests.join(_keys(works, ""), "pub_id").withColumn("k", F.coalesce("doi_key", F.concat(F.lit("t:"), "title_key")))
+    rows = top_per_group(rows.withColumn("who", F.coalesce("person_id", F.lit(0))), ["k", "scope_type", "who"], [F.col("pub_id").desc(), F.col("mode")])
+    fresh = numbered_after(rows, scopes, "decision_id", [F.col("pub_id"), F.col("scope_type"), F.col("who")]).withColumn("updated_at", now).withColumn("active", F.lit(True)).select(*SCOPE)
+    about = rows.select("k", "scope_type", "who", F.lit(True).alias("off")).distinct()
+    kept = scopes.withColumn("k", F.coalesce("doi_key", F.concat(F.lit("t:"), "title_key"))).withColumn("who", F.coalesce("person_id", F.lit(0))).join(about, ["k", "scope_type", "who"], "left")
+    hit = F.col("off").isNotNull() & F.col("active")
+    kept = kept.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).withColumn("active", F.col("active") & F.col("off").isNull())
+    return kept.select(*SCOPE).unionByName(fresh)

@@ -16,6 +16,7 @@ from quillspark.durable import settled
 from quillspark.functions import payloads, text
 from quillspark.operators.relational import first_by, top_per_group
 from quillspark.plans import canonical, people
+from quillspark.sources import providers
 
 WORK = ["pub_id", "doi", "title", "year", "venue", "provenance", "payload", "is_preprint"]
 
@@ -337,3 +338,30 @@ def author_counts(works: DataFrame, source: str) -> DataFrame:
 def authorship_counts(authorships: DataFrame) -> DataFrame:
     """pub_id, total, with_person and with_affiliation of the stored rows."""
     return authorships.groupBy("pub_id").agg(F.count(F.lit(1)).alias("total"), F.count("person_id").alias("with_person"), F.count_if(F.size("affiliations") > 0).alias("with_affiliation"))
+
+
+def ingest_payloads(works: DataFrame, landed: DataFrame, source: str, token: str | None = None) -> DataFrame:
+    """Works after landed payloads of one source (payload_id, payload): fields are read, and merged by DOI with the payload under the source's key. The same payloads again change nothing."""
+    fields = providers.works(landed, source)
+    body = landed.select("payload_id", F.concat(F.lit(f'{{"{source}":'), F.col("payload"), F.lit("}")).alias("payload"))
+    incoming = fields.join(body, "payload_id").withColumn("provenance", F.lit(token or source))
+    return upsert_works(works, incoming)
+
+
+def ingest_orcid(works: DataFrame, authorships: DataFrame, records: DataFrame, persons: DataFrame, known_aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(works, authorships) after the ORCID records of persons (person_orcid, payload): summaries with a DOI are upserted, and the person, found by the record's ORCID, is put on each."""
+    listed = providers.orcid_works(records).withColumn("doi", text.normalize_doi(F.col("doi"))).filter("doi is not null")
+    incoming = listed.select("doi", "title", F.col("year").try_cast("int").alias("year"), F.lit(None).cast("string").alias("venue"), F.lit("orcid").alias("provenance"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("boolean").alias("is_preprint"))
+    new = settled(upsert_works(works, incoming), "orcid-works")
+    who = listed.select("doi", F.col("person_orcid").alias("author_orcid"), F.lit(None).cast("string").alias("author_name")).distinct()
+    found = people.resolve_authors(who, persons, known_aliases).filter("person_id is not null").join(new.select("pub_id", "doi"), "doi")
+    there = authorships.filter("person_id is not null").select("pub_id", "person_id")
+    last = authorships.groupBy("pub_id").agg(F.max("author_position").alias("last"))
+    missing = found.join(there, ["pub_id", "person_id"], "left_anti").join(last, "pub_id", "left")
+    place = F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("pub_id").orderBy("person_id"))
+    none = F.lit(None).cast("string")
+    rows = missing.join(persons.select("person_id", "display_name"), "person_id").select(
+        "pub_id", place.cast("int").alias("author_position"), "person_id", F.col("display_name").alias("author_name"), "author_orcid", F.col("author_orcid").alias("paper_orcid"), F.lit(None).cast("array<string>").alias("affiliations"),
+        none.alias("paper_affiliation"), F.lit(False).alias("is_corresponding"), none.alias("order_tag"), none.alias("equal_contrib_tag"), none.alias("raw_author"),
+    )
+    return new, upsert_authorships(authorships, rows, persons)
