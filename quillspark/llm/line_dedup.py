@@ -70,6 +70,7 @@ _NORMAL[48:58] = 48
 _NORMAL[65:91] = _NORMAL[97:123] = np.arange(97, 123)
 _NORMAL[128:] = np.arange(128, 256)
 _WORD = _NORMAL != 32
+_TABLE = _NORMAL.tobytes()
 _NORMAL_VALUES = mix(_NORMAL.astype(_U) + _U(1))
 #: For each byte: its eight bits as eight counters of eight bits.
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], _U)
@@ -204,8 +205,7 @@ def line_batches(column: pa.Array) -> Iterator[tuple[LineBatch, int]]:
 
 
 def normal_form(line: str) -> str:
-    plain = _NORMAL[np.frombuffer(line.encode(), np.uint8)].tobytes().decode()
-    return " ".join(filter(None, plain.split(" ")))
+    return b" ".join(line.encode().translate(_TABLE).split()).decode()
 
 
 def edits(a: Sequence, b: Sequence, most: int | None = None) -> int:
@@ -301,16 +301,17 @@ class Grams:
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["line_hash", "sim", "keys", "form", "sim2"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    """The normal forms of the wanted lines, beside what is known of them."""
     for batch in (some for whole in batches for some in pieces(whole)):
-        out = []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        wanted = batch.column("wanted")
+        flat, sizes = wanted.flatten(), wanted.value_lengths().to_pylist()
+        numbers, out = iter(flat.field("line").to_pylist()), []
+        for text, n in zip(batch.column("text").to_pylist(), sizes, strict=True):
             lines = (text or "").split("\n")
-            out += [(w["line_hash"], w["sim"], w["keys"], normal_form(lines[w["line"]])) for w in wanted]
+            out += [normal_form(lines[next(numbers)]) for _ in range(n)]
         for lo in range(0, len(out), 4096):
-            columns = [pa.array([r[k] for r in out[lo : lo + 4096]], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(signed(LineBatch(*raw(columns[3])).second_hash()))], names)
+            part, forms = flat.slice(lo, 4096), pa.array(out[lo : lo + 4096], pa.string())
+            yield pa.RecordBatch.from_arrays([part.field("line_hash"), part.field("sim"), part.field("keys"), forms, pa.array(signed(LineBatch(*raw(forms)).second_hash()))], ["line_hash", "sim", "keys", "form", "sim2"])
 
 
 def _near_pairs(cell: np.ndarray, sim: np.ndarray, distance: int, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
