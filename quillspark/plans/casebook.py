@@ -199,7 +199,7 @@ def attribution_changes(g):
     return canonical.changed_attribution(g.w, g.spark.createDataFrame([("Example 3", True)], "pattern string, active boolean"))
 
 
-@query("""SELECT pub_id, len(f) AS n_source_families, array_to_string(f, '+') AS source_families, array_to_string(t, '+') AS source_tokens FROM (SELECT pub_id, list_sort(t) AS t, list_sort(list_distinct(list_transform(t, lambda x: split_part(x, '-', 1)))) AS f FROM (SELECT pub_id, list_distinct(list_filter(list_transform(string_split(lower(coalesce(provenance, '')), '+'), lambda x: trim(x)), lambda x: x <> '')) AS t FROM w) y) z""", "w")
+@query("""SELECT pub_id, CAST(len(f) AS INT) AS n_source_families, array_to_string(f, '+') AS source_families, array_to_string(t, '+') AS source_tokens FROM (SELECT pub_id, list_sort(t) AS t, list_sort(list_distinct(list_transform(t, lambda x: split_part(x, '-', 1)))) AS f FROM (SELECT pub_id, list_distinct(list_filter(list_transform(string_split(lower(coalesce(provenance, '')), '+'), lambda x: trim(x)), lambda x: x <> '')) AS t FROM w) y) z""", "w")
 def source_coverage(g):
     return canonical.coverage(g.w).drop("doi", "title", "year")
 
@@ -215,7 +215,7 @@ def provenance_rules(g, c):
     return c.select("a", "b", payloads.merge_provenance(a, b).alias("merged"), payloads.replace_family(a, F.lit("crossref"), "crossref").alias("plain"), payloads.replace_family(a, F.lit("crossref-affiliation"), "crossref").alias("special"))
 
 
-@query("""SELECT pub_id, coalesce(list_min(rk), 8) AS rank, coalesce(list_min(rk) < 7, FALSE) AS above_openalex, len(list_filter(t, lambda x: x <> 'unknown')) AS n FROM (SELECT pub_id, t, list_transform(t, lambda x: CAST(coalesce(nullif(list_position(['manual', 'crossref', 'datacite', 'semantic', 'orcid', 'scholar', 'dblp', 'openalex', 'unknown'], split_part(x, '-', 1)), 0) - 1, 9) AS INT)) AS rk
+@query("""SELECT pub_id, coalesce(list_min(rk), 8) AS rank, coalesce(list_min(rk) < 7, FALSE) AS above_openalex, CAST(len(list_filter(t, lambda x: x <> 'unknown')) AS INT) AS n FROM (SELECT pub_id, t, list_transform(t, lambda x: CAST(coalesce(nullif(list_position(['manual', 'crossref', 'datacite', 'semantic', 'orcid', 'scholar', 'dblp', 'openalex', 'unknown'], split_part(x, '-', 1)), 0) - 1, 9) AS INT)) AS rk
   FROM (SELECT pub_id, list_filter(list_transform(string_split(lower(coalesce(provenance, '')), '+'), lambda x: trim(x)), lambda x: x <> '') AS t FROM w) y) z""", "w")
 def trust(g):
     return g.w.select("pub_id", payloads.best_rank(F.col("provenance")).alias("rank"), payloads.more_trusted(F.col("provenance"), "openalex").alias("above_openalex"), payloads.n_tokens(F.col("provenance")).alias("n"))
@@ -427,7 +427,7 @@ def employments(g, e, n):
     return people.upsert_employments(e, n)
 
 
-@query("""SELECT pub_id, pos AS author_position, CASE WHEN rn = 1 THEN person_id END AS person_id, source FROM (SELECT pub_id, pos, source, person_id, row_number() OVER (PARTITION BY pub_id, person_id ORDER BY pos) AS rn FROM (SELECT j.*, CASE WHEN pos <= 2 THEN 1 WHEN pos = 3 THEN 2 END AS person_id FROM j
+@query("""SELECT pub_id, pos AS author_position, CAST(CASE WHEN rn = 1 THEN person_id END AS BIGINT) AS person_id, source FROM (SELECT pub_id, pos, source, person_id, row_number() OVER (PARTITION BY pub_id, person_id ORDER BY pos) AS rn FROM (SELECT j.*, CASE WHEN pos <= 2 THEN 1 WHEN pos = 3 THEN 2 END AS person_id FROM j
    JOIN (SELECT pub_id, arg_min(source, (rk, -aff, -n, source)) AS best FROM (SELECT pub_id, source, rk, count(*) AS n, count(*) FILTER (WHERE places > 0) AS aff FROM j GROUP BY 1, 2, 3) s GROUP BY 1) b ON b.pub_id = j.pub_id AND b.best = j.source) x) y""",
        j="""SELECT CAST(p_partkey AS BIGINT) AS pub_id, src AS source, CAST(rk AS INT) AS rk, CAST(pos AS INT) AS pos, CAST((p_partkey + pos + rk) % 3 AS INT) AS places FROM {part} CROSS JOIN (SELECT 'openalex' AS src, 7 AS rk UNION ALL SELECT 'crossref', 1 UNION ALL SELECT 'local-b', 9 UNION ALL SELECT 'local-a', 9) s CROSS JOIN (SELECT 1 AS pos UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) q
    WHERE (src = 'crossref' AND p_partkey % 3 = 0) OR (src = 'openalex' AND p_partkey % 2 = 0) OR (src LIKE 'local%' AND (pos < 4 OR p_partkey % 5 = 0 OR src = 'local-a'))""")
@@ -525,7 +525,7 @@ def attempts(g, t):
     return works.recorded_attempts(old, before, after, errors, F.lit("now")).select("pub_id", "attempt_count", "last_outcome")
 
 
-@query("""SELECT pub_id, n AS n_sources FROM (SELECT pub_id, year, CASE WHEN trim(coalesce(provenance, '')) = '' OR lower(trim(provenance)) = 'unknown' THEN 0 ELSE length(provenance) - length(replace(provenance, '+', '')) + 1 END AS n FROM w) x WHERE n < 2 ORDER BY n, year DESC NULLS LAST, pub_id LIMIT 40""", "w")
+@query("""SELECT pub_id, CAST(n AS INT) AS n_sources FROM (SELECT pub_id, year, CASE WHEN trim(coalesce(provenance, '')) = '' OR lower(trim(provenance)) = 'unknown' THEN 0 ELSE length(provenance) - length(replace(provenance, '+', '')) + 1 END AS n FROM w) x WHERE n < 2 ORDER BY n, year DESC NULLS LAST, pub_id LIMIT 40""", "w")
 def low_sources(g):
     return works.low_source_queue(g.w, 2, 40).select("pub_id", "n_sources")
 
@@ -649,24 +649,24 @@ def _all(g: Given, f: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
 
 @query(_values([(1, "10.5061/d.1", "Data", 2019, "P", True), (2, "10.1234/o", "T", 2020, "J", False), (3, "10.1101/2020.1", "S", 2021, "W", True), (4, "10.1234/db", "On Graphs", 2018, "CoRR", False), (5, "10.1234/solo", "Solo", None, "SSRN notes", True), (6, "10.1234/c", "T", 2022, "J", True)], "payload_id, doi, title, year, venue, is_preprint"))
 def provider_works(g):
-    return _all(g, providers.works)
+    return _all(g, providers.works).withColumn("payload_id", F.col("payload_id").cast("int"))
 
 
 @query(_values([(1, 1, "Ann Lee", "0000-0002-1825-0097", "U;V"), (1, 2, "Group", None, ""), (2, 1, "A. B", None, "I"), (2, 2, "C D", None, "R"), (3, 1, "X Y", "0000-0002-1825-0097", "U"), (4, 1, "Ann Lee 0001", None, ""), (4, 2, "Bob Ray", None, ""), (4, 3, "Cy", None, ""), (5, 1, "Only One", None, ""), (6, 1, "A B", None, ""), (6, 2, None, None, "")], "payload_id, position, name, orcid, affiliations"))
 def provider_authors(g):
-    return _all(g, providers.authors).withColumn("affiliations", F.array_join("affiliations", ";"))
+    return _all(g, providers.authors).withColumn("payload_id", F.col("payload_id").cast("int")).withColumn("affiliations", F.array_join("affiliations", ";"))
 
 
 @query(_values([(1, 1, "X"), (1, 2, None), (2, None, None), (3, None, None)], "payload_id, position, name"))
 def work_contributors(g):
     rows = g.spark.createDataFrame([(1, '{"contributors":{"contributor":[{"credit-name":{"value":"X"}},{"contributor-orcid":{"path":"0000-0002-1825-0097"}}]}}'), (2, '{"contributors":null}'), (3, None)], "payload_id long, payload string")
-    return providers.authors(rows, "orcid", keep_empty=True).select("payload_id", "position", "name")
+    return providers.authors(rows, "orcid", keep_empty=True).select(F.col("payload_id").cast("int").alias("payload_id"), "position", "name")
 
 
 @query(_values([("o", 7, "T", "2020", "10.1/a", "journal-article"), ("o", 8, "U", None, None, None), ("o", 9, None, "1990", "10.1/b", None)], "person_orcid, put_code, title, year, doi, type"))
 def orcid_summaries(g):
     body = '{"group":[{"work-summary":[{"put-code":7,"type":"journal-article","title":{"title":{"value":"T"}},"publication-date":{"year":{"value":"2020"}},"external-ids":{"external-id":[{"external-id-type":"isbn","external-id-value":"1"},{"external-id-type":"DOI","external-id-value":"10.1/A"},{"external-id-type":"doi","external-id-value":"10.1/z"}]}},null]},{"work-summary":[{"put-code":8,"title":{"title":{"value":"U"}},"external-ids":null},{"put-code":9,"publication-date":{"year":{"value":"1990"}},"external-ids":{"external-id":[{"external-id-type":"doi","external-id-value":"10.1/B"}]}}]}]}'
-    return providers.orcid_works(g.spark.createDataFrame([("o", body), ("p", "{}")], "person_orcid string, payload string"))
+    return providers.orcid_works(g.spark.createDataFrame([("o", body), ("p", "{}")], "person_orcid string, payload string")).withColumn("put_code", F.col("put_code").cast("int"))
 
 
 @query(_values([("a", "Example University", "D", "R", "2001-02", None, True), ("a", "University Example Inst", None, None, "1999", "2000-01-31", False), ("b", "Uni Example", None, None, None, None, False), ("c", "Universität Example", None, None, "2010-03-04", None, True)], "person_orcid, org_name, department, role_title, start_date, end_date, is_current"))
@@ -683,7 +683,7 @@ def verified_emails(g):
     return providers.verified_emails(g.spark.createDataFrame([("a", body), ("b", "{}")], "person_orcid string, payload string")).withColumn("emails", F.array_join("emails", ";"))
 
 
-@query("""SELECT w.pub_id, 'https://x/' || CASE WHEN w.pub_id % 3 = 0 THEN 'best' ELSE 'second' END AS pdf_url, CASE WHEN w.pub_id % 3 = 0 THEN CASE w.pub_id % 4 WHEN 0 THEN 'explicit_open_license' WHEN 1 THEN 'license_missing' WHEN 2 THEN 'source_terms_review' ELSE 'explicit_open_license' END ELSE 'license_missing' END AS rights_tier, x.n AS member_count, x.ids AS member_ids
+@query("""SELECT w.pub_id, 'https://x/' || CASE WHEN w.pub_id % 3 = 0 THEN 'best' ELSE 'second' END AS pdf_url, CASE WHEN w.pub_id % 3 = 0 THEN CASE w.pub_id % 4 WHEN 0 THEN 'explicit_open_license' WHEN 1 THEN 'license_missing' WHEN 2 THEN 'source_terms_review' ELSE 'explicit_open_license' END ELSE 'license_missing' END AS rights_tier, CAST(x.n AS INT) AS member_count, x.ids AS member_ids
    FROM w JOIN (SELECT pub_id, count(*) AS n, string_agg(CAST(person_id AS VARCHAR), ',' ORDER BY person_id) AS ids FROM (SELECT DISTINCT a.pub_id, a.person_id FROM a JOIN p ON p.person_id = a.person_id WHERE p.person_kind = 'internal') y GROUP BY 1) x ON x.pub_id = w.pub_id WHERE w.pub_id % 5 NOT IN (0, 1) AND (w.pub_id % 3 = 0 OR w.pub_id % 7 <> 0)""", "wap")
 def open_access(g):
     n = F.col("pub_id")
@@ -800,4 +800,4 @@ def orcid_ingest(g):
     a = g.spark.createDataFrame([], "pub_id long, author_position int, person_id long, author_name string, author_orcid string, paper_orcid string, affiliations array<string>, paper_affiliation string, raw_author string, is_corresponding boolean, is_internal boolean, order_tag string, equal_contrib_tag string")
     for _ in range(2):
         ws, a = works.ingest_orcid(ws, a, records, persons, aliases)
-    return a.join(ws.select("pub_id", "doi"), "pub_id").select(F.replace("doi", F.lit("10.1000"), F.lit("10.1")).alias("doi"), "author_position", "person_id", "is_internal")
+    return a.join(ws.select("pub_id", "doi"), "pub_id").select(F.replace("doi", F.lit("10.1000"), F.lit("10.1")).alias("doi"), "author_position", F.col("person_id").cast("int").alias("person_id"), "is_internal")
