@@ -626,7 +626,7 @@ def imported_curation(g):
 
 # ---- providers' payloads
 
-DATACITE = '{"id":"x","attributes":{"doi":"10.5061/D.1","titles":[{"title":"Data"}],"publisher":"P","publicationYear":2019,"types":{"resourceTypeGeneral":"Preprint"},"creators":[{"name":"Lee, Ann","givenName":"Ann","familyName":"Lee","nameIdentifiers":[{"nameIdentifier":"https://orcid.org/0000-0002-1825-0097","nameIdentifierScheme":"ORCID"}],"affiliation":["U","{\\"name\\":\\"V\\"}"," "]},{"name":"Group"}]}}'
+DATACITE = '{"id":"x","attributes":{"doi":"10.5061/D.1","titles":[{"title":"Data"}],"publisher":"P","publicationYear":2019,"types":{"resourceTypeGeneral":"Preprint"},"creators":[{"name":"Lee, Ann","givenName":"Ann","familyName":"Lee","nameIdentifiers":[{"nameIdentifier":"https://orcid.org/0000-0002-1825-0097","nameIdentifierScheme":"ORCID"}],"affiliation":["U",{"name":"V","department":"D"}," "]},{"name":"Group"}]}}'
 OPENALEX = '{"id":"W1","doi":"https://doi.org/10.1234/O","title":"T","type":"article","publication_year":2020,"primary_location":{"source":{"display_name":"J"}},"authorships":[{"raw_author_name":"A. B","author":{"display_name":"Ann B","orcid":null},"raw_affiliation_strings":[],"institutions":[{"display_name":"I"}]},{"raw_author_name":"","author":{"display_name":"C D"},"raw_affiliation_strings":["R"],"institutions":[]}]}'
 SEMANTIC = '{"paperId":"p","externalIds":{"DOI":"10.1101/2020.1"},"title":"S","venue":"","publicationVenue":{"name":"W"},"year":2021,"publicationTypes":["JournalArticle"],"authors":[{"authorId":"1","name":"X Y","affiliations":["U"],"externalIds":{"ORCID":"0000-0002-1825-0097"}}]}'
 DBLP = '{"title":"On <i>Graphs</i>.","year":"2018","type":"Article","ee":["https://x.org","https://doi.org/10.1234/DB"],"venue":["","CoRR"],"authors":{"author":[{"text":"Ann Lee 0001"},"Bob Ray",{"name":"Cy"}]}}'
