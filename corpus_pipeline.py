@@ -10,8 +10,8 @@ first stage; documents that lose every line go in the second; of each group of
 near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays, and
 rows with one doc_id go or stay together there; repeated rows lose the same lines; columns
 beside those of ``documents``, whatever their names, come through all stages but the last
-as they are; an empty table gives an empty result; a null doc_id is a document as any
-other but in near-dedup, where it stays; long texts need what the operators say.
+as they are; an empty table gives an empty result; a null doc_id comes before all
+others; long texts need what the operators say.
 """
 
 from __future__ import annotations
