@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import dates, payloads, text
 from quillspark.operators import relational as r
-from quillspark.plans import canonical
+from quillspark.plans import canonical, casebook
 from quillspark.session import table
 from quillspark.streaming.refresh import due_items
 
@@ -269,7 +269,6 @@ SQL["canonical_list"] = r"""SELECT doc_id AS pub_id, min(doc_id) OVER w AS canon
   WINDOW w AS (PARTITION BY lower(regexp_replace(trim(text, ' '), '[ \t\n\r\f\v]+', ' ', 'g')))"""
 
 
-from quillspark.plans import casebook  # noqa: E402  the queries over derived inputs
-
+#: The queries over derived inputs.
 QUERIES |= casebook.QUERIES
 SQL |= casebook.SQL
