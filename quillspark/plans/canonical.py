@@ -44,17 +44,58 @@ def _matches(works: DataFrame, wanted: DataFrame, doi: str, title: str, year: st
     return first.unionByName(left.join(wanted.filter(F.col(doi).isNull()), by_title).withColumn("by_title", F.lit(1)))
 
 
+def _best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The greatest row of each group by ``order`` (nulls last), without a window: a group of any size is reduced where it lies."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__best")).select(*keys, "__best.*")
+
+
+def _winners(works: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(decision_id, winner_pub_id): the first work that fits w_doi, or w_title (and w_year if given) where there is no DOI.
+
+    Each key's first work is found before the join: never are all works of a title beside all decisions that name it.
+    """
+    order = F.struct(false_null_true(F.col("is_preprint")).alias("pre"), F.col("pub_id").alias("id"))
+    of = lambda **keys: works.select(*[F.col(c).alias(k) for k, c in keys.items()], order.alias("first")).dropna(subset=list(keys)).groupBy(*keys).agg(F.min("first").alias("first"))
+    by_doi = wanted.filter("w_doi is not null").join(of(w_doi="doi_key"), "w_doi")
+    untold = wanted.filter("w_doi is null")
+    by_title = untold.filter("w_year is null").join(of(w_title="norm_title"), "w_title")
+    by_year = untold.filter("w_year is not null").join(of(w_title="norm_title", w_year="year"), ["w_title", "w_year"])
+    found = by_doi.select("decision_id", F.struct(F.lit(0).alias("by_title"), "first").alias("first"))
+    for more in (by_title, by_year):
+        found = found.unionByName(more.select("decision_id", F.struct(F.lit(1).alias("by_title"), "first").alias("first")))
+    return found.groupBy("decision_id").agg(F.min("first")["first"]["id"].alias("winner_pub_id"))
+
+
+def _best_matches(works: DataFrame, wanted: DataFrame, own: list[str]) -> DataFrame:
+    """For each work (and each value of ``own``, columns of ``wanted``) its best row of ``wanted``: by DOI key before title (and d_year if given, only for rows without a DOI), then the newest, then the highest decision_id.
+
+    The best row of each key is found before the join, so a work meets three rows at most of each value of ``own``.
+    """
+    newest = [F.col("updated_at"), F.col("decision_id")]
+    untold = wanted.filter("d_doi is null")
+    ways = [
+        (1, wanted.drop("d_title", "d_year"), {"d_doi": "doi_key"}),
+        (0, untold.filter("d_year is null").drop("d_doi", "d_year"), {"d_title": "norm_title"}),
+        (0, untold.filter("d_year is not null").drop("d_doi"), {"d_title": "norm_title", "d_year": "year"}),
+    ]
+    found = None
+    for by_doi, rows, keys in ways:
+        best = _best(rows.dropna(subset=list(keys)), [*keys, *own], newest)
+        fit = works.select("pub_id", *[F.col(c).alias(k) for k, c in keys.items()]).join(best, list(keys)).drop(*keys).withColumn("by_doi", F.lit(by_doi))
+        found = fit if found is None else found.unionByName(fit)
+    return _best(found, ["pub_id", *own], [F.col("by_doi"), *newest])
+
+
 def durable_decisions(works: DataFrame, decisions: DataFrame) -> DataFrame:
     """(pub_id, mode, winner_pub_id): the best active decision of each work whose winner, if it needs one, exists."""
     rows = decisions.filter("active").select(
         "decision_id", "mode", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"),
         text.doi_key(F.col("winner_doi")).alias("w_doi"), text.title_key(F.col("winner_title")).alias("w_title"), F.col("winner_year").alias("w_year"),
     )
-    winners = _matches(works, rows.select("decision_id", "w_doi", "w_title", "w_year"), "w_doi", "w_title", "w_year")
-    winners = top_per_group(winners, ["decision_id"], [F.col("by_title"), false_null_true(F.col("is_preprint")), F.col("pub_id")]).select("decision_id", F.col("pub_id").alias("winner_pub_id"))
-    found = _matches(works, rows, "d_doi", "d_title", "d_year").join(winners, "decision_id", "left")
-    found = found.filter((F.col("mode") == "keep_separate") | F.col("winner_pub_id").isNotNull())
-    best = top_per_group(found, ["pub_id"], [F.col("by_title"), F.col("updated_at").desc_nulls_last(), F.col("decision_id").desc()])
+    winners = _winners(works, rows.select("decision_id", "w_doi", "w_title", "w_year"))
+    usable = rows.drop("w_doi", "w_title", "w_year").join(winners, "decision_id", "left").filter((F.col("mode") == "keep_separate") | F.col("winner_pub_id").isNotNull())
+    best = _best_matches(works, usable, [])
     return best.select("pub_id", F.col("mode").alias("d_mode"), F.when(F.col("mode") != "keep_separate", F.col("winner_pub_id")).alias("d_winner"), "decision_id")
 
 
