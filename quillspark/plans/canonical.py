@@ -35,15 +35,6 @@ def keyed(works: DataFrame) -> DataFrame:
     return works.withColumn("norm_title", text.title_key(F.col("title"))).withColumn("doi_key", text.doi_key(F.col("doi")))
 
 
-def _matches(works: DataFrame, wanted: DataFrame, doi: str, title: str, year: str) -> DataFrame:
-    """Works by DOI key; by title, and year if given, only for rows without a DOI."""
-    by_doi = F.col("doi_key") == F.col(doi)
-    by_title = F.col(doi).isNull() & (F.col("norm_title") == F.col(title)) & (F.col(year).isNull() | (F.col("year") == F.col(year)))
-    left = works.select("pub_id", "doi_key", "norm_title", "year", "is_preprint")
-    first = left.join(wanted.filter(F.col(doi).isNotNull()), by_doi).withColumn("by_title", F.lit(0))
-    return first.unionByName(left.join(wanted.filter(F.col(doi).isNull()), by_title).withColumn("by_title", F.lit(1)))
-
-
 def _best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The greatest row of each group by ``order`` (nulls last), without a window: a group of any size is reduced where it lies."""
     rest = [c for c in rows.columns if c not in keys]
@@ -179,8 +170,7 @@ def clean_list(works: DataFrame, members: DataFrame, authorships: DataFrame, peo
 def scope_matches(works: DataFrame, scopes: DataFrame) -> DataFrame:
     """pub_id, decision_id, scope_type, person_id, mode, note: each work's one active decision of a scope (and person): by DOI before title, then the newest."""
     rows = scopes.filter("active").select("decision_id", "scope_type", "person_id", "mode", "note", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"))
-    found = _matches(keyed(works), rows, "d_doi", "d_title", "d_year").withColumn("person", F.coalesce("person_id", F.lit(0)))
-    best = top_per_group(found, ["pub_id", "scope_type", "person"], [F.col("by_title"), F.col("updated_at").desc_nulls_last(), F.col("decision_id").desc()])
+    best = _best_matches(keyed(works), rows.withColumn("person", F.coalesce("person_id", F.lit(0))), ["scope_type", "person"])
     return best.select("pub_id", "decision_id", "scope_type", "person_id", "mode", "note")
 
 

@@ -25,6 +25,7 @@ class Given:
 
 CASES = {
     "durable_decisions": lambda g: canonical.durable_decisions(canonical.keyed(g.works), g.decisions),
+    "canon_scope": lambda g: canonical.scope_matches(g.works, g.scopes),
 }
 
 
