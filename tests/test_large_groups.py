@@ -27,6 +27,7 @@ CASES = {
     "durable_decisions": lambda g: canonical.durable_decisions(canonical.keyed(g.works), g.decisions),
     "canon_scope": lambda g: canonical.scope_matches(g.works, g.scopes),
     "dedup_memberships": lambda g: g.members(),
+    "dedup_families": lambda g: curation.families(g.members(), g.works),
 }
 
 
