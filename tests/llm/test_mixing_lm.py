@@ -268,3 +268,15 @@ def test_held_out_texts_teach_nothing(spark, docs, texts):
     other = docs.withColumn("text", F.when(lm.held_out(F.col("doc_id")), F.concat(F.lit("quite other words "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
     got = {r.doc_id: r.score for r in lm.score_documents(other).collect() if not r.held_out}
     assert all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+
+
+def test_first_weights_come_from_no_texts(docs, monkeypatch):
+    train, made = lm.train, []
+
+    def kept(*args):
+        made.append(train(*args))
+        return made[-1]
+
+    monkeypatch.setattr(lm, "train", kept)
+    lm.score_documents(docs)
+    assert len(made) == 1 and np.array_equal(made[0].weights, lm._START)
