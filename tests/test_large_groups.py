@@ -28,6 +28,7 @@ CASES = {
     "canon_scope": lambda g: canonical.scope_matches(g.works, g.scopes),
     "dedup_memberships": lambda g: g.members(),
     "dedup_families": lambda g: curation.families(g.members(), g.works),
+    "canon_publications": lambda g: canonical.canon(g.works, g.members(), g.scopes),
     "person_coverage": lambda g: canonical.person_coverage(7, g.works, g.members(), g.authorships, g.scopes),
 }
 
