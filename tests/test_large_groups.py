@@ -29,6 +29,7 @@ CASES = {
     "dedup_memberships": lambda g: g.members(),
     "dedup_families": lambda g: curation.families(g.members(), g.works),
     "canon_publications": lambda g: canonical.canon(g.works, g.members(), g.scopes),
+    "clean_publications": lambda g: canonical.clean_list(g.works, g.members(), g.authorships, g.people),
     "person_coverage": lambda g: canonical.person_coverage(7, g.works, g.members(), g.authorships, g.scopes),
 }
 
