@@ -249,6 +249,47 @@ def _common(a: str, b: str, end: bool) -> int:
     return low
 
 
+def _word_cost(a: str, b: str) -> int:
+    """No fewer edits than turn one word into another: what lies between their common ends is replaced."""
+    longer, least = max(len(a), len(b)), min(len(a), len(b))
+    first = 0
+    while first < least and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < least - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    return longer - first - last
+
+
+#: Words that may be skipped on both sides together before an alignment agrees again.
+AHEAD = 8
+_SKIPS = [(p, d - p) for d in range(1, AHEAD + 1) for p in sorted(range(d + 1), key=lambda p, d=d: abs(d - 2 * p))]
+
+
+def _aligned(x: list[str], y: list[str], most: int) -> bool:
+    """Whether one alignment of the words, found by looking a few words ahead, needs at most ``most`` edits: then the distance is no greater. False says nothing."""
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p = q = 1
+        for k, t in _SKIPS:
+            u, v = i + k, j + t
+            if u < n and v < m and x[u] == y[v] and (u + 1 == n or v + 1 == m or x[u + 1] == y[v + 1]):
+                p, q = k, t
+                break
+        if p == q:
+            cost += sum(map(_word_cost, x[i : i + p], y[j : j + q]))
+        else:
+            cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Edit similarity of two normal forms."""
     longer = max(len(a), len(b))
@@ -259,6 +300,8 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= (1 - similarity) * longer:
         return True  # replacing those words is enough
+    if _aligned(x, y, int((1 - similarity + 1e-12) * longer)):
+        return True
     first = _common(a, b, False)
     a, b = a[first:], b[first:]
     last = _common(a, b, True)
@@ -314,23 +357,54 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.field("line_hash"), part.field("sim"), part.field("keys"), forms, pa.array(signed(LineBatch(*raw(forms)).second_hash()))], ["line_hash", "sim", "keys", "form", "sim2"])
 
 
-def _near_pairs(cell: np.ndarray, sim: np.ndarray, distance: int, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places of one bucket whose hashes are close, all pairs of one step at a time; pairs equal in ``done``, which the caller may change between steps, are left out."""
+#: Rows from which a bucket is compared by itself; pairs compared in one step, and pairs given out at once.
+LARGE, TILE, GIVEN = 64, 1 << 17, 4096
+
+
+def _near_pairs(cell: np.ndarray, sim: np.ndarray, distance: int, done: np.ndarray, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of one bucket whose hashes are close; pairs equal in ``done``, which the caller may change between steps, or in ``part`` are left out.
+
+    All buckets go together through pairs of neighbours, and small ones through all steps. What is left of a large one
+    is compared as tiles of a matrix, which reads its hashes in order: its pairs grow with the square of its rows.
+    """
     sim, at, step = sim.view(_U), np.arange(len(cell)), 1
     first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    which = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(cell)]))))
+    ends = np.concatenate((first[1:], [len(cell)]))
+    which = np.repeat(np.arange(len(first)), ends - first)
+    large = ends - first >= LARGE
     while True:
         at = at[at + step < len(cell)]
         at = at[cell[at] == cell[at + step]]
+        if step == 9:
+            at = at[~large[which[at]]]
         if step % 8 == 1 and len(at):  # buckets that have become one leave
             at = at[(np.minimum.reduceat(done, first) != np.maximum.reduceat(done, first))[which[at]]]
         if not len(at):
-            return
+            break
         open_ = at[done[at] != done[at + step]]
         near = open_[np.bitwise_count(sim[open_] ^ sim[open_ + step]) <= distance]
+        if part is not None:
+            near = near[part[near] != part[near + step]]
         if len(near):
             yield near, near + step
         step += 1
+    for low, end in zip(first[large].tolist(), ends[large].tolist(), strict=True):
+        while low < end - 9:
+            if (done[low:end] == done[low]).all():
+                break
+            high = min(end, low + max(1, TILE // (end - low)))
+            row, column = np.nonzero(np.bitwise_count(sim[low:high, None] ^ sim[None, low + 9 : end]) <= distance)
+            later = column >= row  # at least nine places apart: nearer ones have been seen
+            a, b = row[later] + low, column[later] + low + 9
+            if part is not None:
+                apart = part[a] != part[b]
+                a, b = a[apart], b[apart]
+            for k in range(0, len(a), GIVEN):
+                x, y = a[k : k + GIVEN], b[k : k + GIVEN]
+                open_ = done[x] != done[y]
+                if open_.any():
+                    yield x[open_], y[open_]
+            low = high
 
 
 def _partnered(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -396,9 +470,10 @@ def _earlier(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (cell, key, sim, sim2, line_hash, keys, size, form, comp) sorted by cell: links that join each bucket's groups.
+    """Of rows (cell, key, sim, sim2, line_hash, keys, size, form, comp, part) sorted by cell: links that join each bucket's groups.
 
-    A pair that shares several keys is verified in the bucket of the least one. Rows of one ``comp`` are joined already.
+    A pair that shares several keys is verified in the bucket of the least one. Rows of one ``comp`` are joined already, rows of one
+    ``part`` (none if null) have been compared already.
     """
     for rows in _whole_buckets(batches, "line_hash"):
         rows = rows.take(np.lexsort((rows.column("line_hash"), rows.column("size"), rows.column("cell"))))
@@ -409,7 +484,9 @@ def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: floa
         group = np.zeros(len(cell), np.int64)  # rows of a bucket that are joined
         group[order[1:]] = np.cumsum((cell[order][1:] != cell[order][:-1]) | (comp[order][1:] != comp[order][:-1]))
         found: list[tuple[int, int]] = []
-        for a, b in _near_pairs(cell, sim, distance, group):
+        part = rows.column("part").fill_null(-1).to_numpy()
+        part = np.where(part < 0, -1 - np.arange(len(part)), part)
+        for a, b in _near_pairs(cell, sim, distance, group, part if (part >= 0).any() else None):
             keep = np.bitwise_count(sim[a].view(_U) ^ sim[b].view(_U)) + np.bitwise_count(more[a].view(_U) ^ more[b].view(_U)) <= 2 * distance
             keep &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
             a, b = a[keep], b[keep]
@@ -482,7 +559,7 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, forms: DataFrame, distance: i
     texts = docs.select(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"), "text")
     same_row = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("of_copy") == F.col("copy"))
     found = durable(texts.join(light(wanted, _entries(wanted, "wanted")), same_row).select("text", "wanted").mapInArrow(_texts_of, "line_hash long, sim long, keys array<long>, form string, sim2 long"), "texts")
-    cells = found.select(F.explode("keys").alias("key"), "sim", "sim2", "line_hash", "keys", F.length("form").alias("size"), "form", F.col("line_hash").alias("comp"))
+    cells = found.select(F.explode("keys").alias("key"), "sim", "sim2", "line_hash", "keys", F.length("form").alias("size"), "form", F.col("line_hash").alias("comp"), F.lit(None).cast("int").alias("part"))
     if not n_crowded:
         return verified(cells.withColumn("cell", F.col("key"))).distinct()
     return _crowded_links(cells, crowded, n_crowded, verified)
@@ -495,14 +572,14 @@ def _crowded_links(cells: DataFrame, crowded: DataFrame, n_crowded: int, verifie
     place = F.pmod(F.xxhash64("line_hash"), "blocks").cast("int")
     many = durable(cells.filter("blocks is not null").withColumn("x", place), "many")
     inside = cells.filter("blocks is null").withColumn("cell", F.col("key")).drop("blocks").unionByName(many.withColumn("cell", F.xxhash64("key", "x")).drop("blocks", "x"))
-    heads = many.groupBy("key", "x").agg(F.min_by(F.struct("sim", "sim2", "line_hash", "keys", "size", "form", "comp"), "line_hash").alias("h")).select("key", "h.*").withColumn("cell", F.xxhash64("key", F.lit(-1)))
+    heads = many.groupBy("key", "x").agg(F.min_by(F.struct("sim", "sim2", "line_hash", "keys", "size", "form", "comp", "part"), "line_hash").alias("h")).select("key", "h.*").withColumn("cell", F.xxhash64("key", F.lit(-1)))
     links = durable(verified(inside).unionByName(verified(heads)).distinct(), "inside")
     groups = components(links).select(F.col("child").alias("line_hash"), F.col("root"))
     known = durable(many.drop("comp").join(groups, "line_hash", "left").withColumn("comp", F.coalesce("root", "line_hash")).drop("root"), "grouped")
     apart = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("x", y).alias("low"), F.greatest("x", y).alias("high")))
     pairs = known.join(apart, "key", "left_semi").withColumn("pair", F.explode(others)).filter("pair.low <> pair.high").withColumn("cell", F.xxhash64("key", "pair.low", "pair.high"))
-    return links.unionByName(verified(pairs.drop("pair", "blocks", "x"))).distinct()
+    return links.unionByName(verified(pairs.withColumn("part", F.col("x")).drop("pair", "blocks", "x"))).distinct()
 
 
 def repeated_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:

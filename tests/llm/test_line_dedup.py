@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,44 @@ def test_long_text_is_read_in_pieces(spark, monkeypatch):
     cut = line_dedup.line_table(docs).select("doc_id", "line", "line_hash", F.array_sort("keys").alias("keys")).collect()
     assert sorted(map(tuple, cut), key=repr) == sorted(map(tuple, whole), key=repr) and len(cut) == 2 * 401
     assert line_dedup.dedup_lines(docs.select("doc_id", "text")).agg(F.sum("n_dropped")).first()[0] == 401
+
+
+@pytest.mark.parametrize("distance", [0, 16, 24])
+def test_close_pairs_of_large_and_small_buckets(distance):
+    """Every close pair of a bucket once, by brute force, and none of one part: parts have been compared already."""
+    rng = np.random.default_rng(4)
+    cell = np.repeat(np.arange(6), [1, 3, 700, 64, 10, 63])
+    sim = rng.integers(0, 2**63, len(cell))
+    sim[1::3] = sim[0:-1:3][: len(sim[1::3])] ^ (1 << 7)
+    part = rng.integers(0, 3, len(cell))
+    for parts in (None, part):
+        found = [(int(i), int(j)) for a, b in line_dedup._near_pairs(cell, sim, distance, np.arange(len(cell)), parts) for i, j in zip(a, b, strict=True)]
+        want = {(i, j) for j in range(len(cell)) for i in range(j) if cell[i] == cell[j] and (int(sim[i]) ^ int(sim[j])).bit_count() <= distance and (parts is None or part[i] != part[j])}
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_hashes_of_a_large_bucket_are_read_in_order(monkeypatch):
+    """A bucket of n lines takes no n steps: its pairs are compared as tiles."""
+    calls = []
+    count = np.bitwise_count
+    monkeypatch.setattr(line_dedup.np, "bitwise_count", lambda x: calls.append(x.size) or count(x))
+    n = 4000
+    assert not list(line_dedup._near_pairs(np.zeros(n, np.int64), np.random.default_rng(1).integers(0, 2**63, n), 0, np.arange(n)))
+    assert sum(calls) >= n * (n - 1) // 2 and len(calls) < 200
+
+
+def test_an_alignment_of_words_never_promises_too_much():
+    rng = random.Random(11)
+    said = 0
+    for _ in range(1500):
+        a = _line(rng, rng.choice([1, 3, 8, 20, 40]))
+        b = _changed(rng, a, rng.choice([0.05, 0.2, 0.5]))
+        b = "".join(rng.choice([c, c, c, c + "q", ""]) if rng.random() < 0.05 and c != " " else c for c in b)
+        a, b = line_dedup.normal_form(a), line_dedup.normal_form(b)
+        k, longer = line_dedup.edits(a, b), max(len(a), len(b))
+        assert line_dedup.alike(a, b) == (min(len(a), len(b)) >= 0.8 * longer and k <= int(0.2 * longer + 1e-9))
+        most = rng.randrange(longer + 1)
+        if line_dedup._aligned(a.split(" "), b.split(" "), most):
+            said += 1
+            assert k <= most
+    assert said > 300
