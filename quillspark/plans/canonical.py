@@ -35,6 +35,11 @@ def keyed(works: DataFrame) -> DataFrame:
     return works.withColumn("norm_title", text.title_key(F.col("title"))).withColumn("doi_key", text.doi_key(F.col("doi")))
 
 
+def _keyed_once(works: DataFrame) -> DataFrame:
+    """:func:`keyed` works, computed once by as many tasks as there is work for: a small file is one task's, and each join below would derive its keys again."""
+    return settled(keyed(works.repartition("pub_id")), "keyed")
+
+
 def _best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The greatest row of each group by ``order`` (nulls last), without a window: a group of any size is reduced where it lies."""
     rest = [c for c in rows.columns if c not in keys]
@@ -46,8 +51,10 @@ def _winners(works: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Each key's first work is found before the join: never are all works of a title beside all decisions that name it.
     """
-    order = F.struct(false_null_true(F.col("is_preprint")).alias("pre"), F.col("pub_id").alias("id"))
-    of = lambda **keys: works.select(*[F.col(c).alias(k) for k, c in keys.items()], order.alias("first")).dropna(subset=list(keys)).groupBy(*keys).agg(F.min("first").alias("first"))
+    pre = false_null_true(F.col("is_preprint"))
+    least = [F.min(F.when(F.col("pre") == k, F.col("id"))).alias(f"id{k}") for k in range(3)]  # numbers are aggregated by hash, structs by sort
+    first = F.coalesce(*[F.when(F.col(f"id{k}").isNotNull(), F.struct(F.lit(k).alias("pre"), F.col(f"id{k}").alias("id"))) for k in range(3)])
+    of = lambda **keys: works.select(*[F.col(c).alias(k) for k, c in keys.items()], pre.alias("pre"), F.col("pub_id").alias("id")).dropna(subset=list(keys)).groupBy(*keys).agg(*least).select(*keys, first.alias("first"))
     by_doi = wanted.filter("w_doi is not null").join(of(w_doi="doi_key"), "w_doi")
     untold = wanted.filter("w_doi is null")
     by_title = untold.filter("w_year is null").join(of(w_title="norm_title"), "w_title")
@@ -84,9 +91,10 @@ def durable_decisions(works: DataFrame, decisions: DataFrame) -> DataFrame:
         "decision_id", "mode", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"),
         text.doi_key(F.col("winner_doi")).alias("w_doi"), text.title_key(F.col("winner_title")).alias("w_title"), F.col("winner_year").alias("w_year"),
     )
+    rows = settled(rows, "decisions")
     winners = _winners(works, rows.select("decision_id", "w_doi", "w_title", "w_year"))
     usable = rows.drop("w_doi", "w_title", "w_year").join(winners, "decision_id", "left").filter((F.col("mode") == "keep_separate") | F.col("winner_pub_id").isNotNull())
-    best = _best_matches(works, usable, [])
+    best = _best_matches(works, settled(usable, "usable"), [])
     return best.select("pub_id", F.col("mode").alias("d_mode"), F.when(F.col("mode") != "keep_separate", F.col("winner_pub_id")).alias("d_winner"), "decision_id")
 
 
@@ -98,7 +106,7 @@ def memberships(works: DataFrame, decisions: DataFrame, overrides: DataFrame, tr
     unversioned DOI, least id). Excluded types vanish, even as targets. Rules are not chained; with
     ``transitive`` they are followed to their end, and a cycle ends at its least id.
     """
-    rows = keyed(works)
+    rows = _keyed_once(works)
     ids = overrides.select("pub_id", F.col("mode").alias("o_mode"), F.col("winner_pub_id").alias("o_winner"))
     typed = rows.join(ids, "pub_id", "left").join(durable_decisions(rows, decisions), "pub_id", "left")
     mode = F.coalesce("o_mode", "d_mode")
@@ -121,8 +129,7 @@ def memberships(works: DataFrame, decisions: DataFrame, overrides: DataFrame, tr
     itself = F.when(F.col("is_target"), F.col("pub_id"))
     chosen = F.coalesce("confirmed", *((F.col("merged_to"), itself) if transitive else (itself, F.col("merged_to"))), "automatic")
     out = mapped.select("pub_id", "dedup_key", chosen.alias("canonical_pub_id"), F.col("confirmed").isNotNull().alias("canonical_locked"), "confirm_decision_id")
-    if transitive:
-        out = _followed(out)
+    out = _followed(out) if transitive else settled(out, "mapped")
     sizes = out.groupBy("canonical_pub_id").agg(F.count(F.lit(1)).alias("group_size"))
     return out.join(sizes, "canonical_pub_id").select("pub_id", "dedup_key", "canonical_pub_id", "group_size", (F.col("pub_id") == F.col("canonical_pub_id")).alias("is_canonical"), "canonical_locked", "confirm_decision_id")
 
@@ -169,14 +176,29 @@ def clean_list(works: DataFrame, members: DataFrame, authorships: DataFrame, peo
 
 def scope_matches(works: DataFrame, scopes: DataFrame) -> DataFrame:
     """pub_id, decision_id, scope_type, person_id, mode, note: each work's one active decision of a scope (and person): by DOI before title, then the newest."""
-    rows = scopes.filter("active").select("decision_id", "scope_type", "person_id", "mode", "note", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"))
-    best = _best_matches(keyed(works), rows.withColumn("person", F.coalesce("person_id", F.lit(0))), ["scope_type", "person"])
+    return _scoped(_keyed_once(works.select("pub_id", "doi", "title", "year")), scopes.filter("active"))
+
+
+def _global(works: DataFrame, scopes: DataFrame) -> DataFrame:
+    """:func:`scope_matches` of the global scope: no other scope's decisions have a part in it."""
+    keys = _keyed_once(works.select("pub_id", "doi", "title", "year"))
+    return _scoped(keys, scopes.filter("active and scope_type = 'global' and coalesce(person_id, 0) = 0")).filter("person_id is null")
+
+
+def _scoped(works: DataFrame, scopes: DataFrame) -> DataFrame:
+    rows = scopes.select("decision_id", "scope_type", "person_id", "mode", "note", "updated_at", text.doi_key(F.col("doi")).alias("d_doi"), text.title_key(F.col("title")).alias("d_title"), F.col("year").alias("d_year"))
+    rows = settled(rows.withColumn("person", F.coalesce("person_id", F.lit(0))), "scopes")
+    best = _best_matches(works, rows, ["scope_type", "person"])
     return best.select("pub_id", "decision_id", "scope_type", "person_id", "mode", "note")
 
 
 def canon(works: DataFrame, members: DataFrame, scopes: DataFrame) -> DataFrame:
     """Canonical works: not preprints, not excluded, and included or with an attributed member; provisional without DOI. Adds scope_mode and scope_decision_id."""
-    decided = scope_matches(works, scopes).filter("scope_type = 'global' and person_id is null").select("pub_id", F.col("mode").alias("scope_mode"), F.col("decision_id").alias("scope_decision_id"))
+    return _canon(works, members, _global(works, scopes))
+
+
+def _canon(works: DataFrame, members: DataFrame, decided: DataFrame) -> DataFrame:
+    decided = decided.select("pub_id", F.col("mode").alias("scope_mode"), F.col("decision_id").alias("scope_decision_id"))
     attributed = members.select("pub_id", "canonical_pub_id").join(works.filter("attributed").select("pub_id"), "pub_id", "left_semi").select(F.col("canonical_pub_id").alias("pub_id")).distinct().withColumn("group_attributed", F.lit(True))
     rows = works.join(members.filter("is_canonical").select("pub_id"), "pub_id", "left_semi").filter("is_preprint is not true")
     rows = rows.join(decided, "pub_id", "left").join(attributed, "pub_id", "left").filter("scope_mode is distinct from 'exclude' and (scope_mode = 'include' or group_attributed)")
@@ -194,15 +216,17 @@ def dated(clean: DataFrame, payloads: DataFrame) -> DataFrame:
 def person_coverage(person_id: int, works: DataFrame, members: DataFrame, authorships: DataFrame, scopes: DataFrame) -> DataFrame:
     """Where each work of one person stands: status (in_canon, excluded_manually, preprint_only, missing_institution_signal,
     outside_dedup_universe) and whether its date lies between the person's first and last canonical ones."""
-    own = authorships.filter(F.col("person_id") == person_id).select("pub_id").distinct()
+    own = settled(authorships.filter(F.col("person_id") == person_id).select("pub_id").distinct(), "own")
+    members, matched = settled(members, "members"), settled(_global(works, scopes), "matched")
     mine = own.join(members.select("pub_id", F.col("canonical_pub_id").alias("winner")), "pub_id", "left")
     winners = mine.filter("winner is not null").select(F.col("winner").alias("pub_id")).distinct()
     kept = works.join(members.filter("is_canonical").select("pub_id", "group_size"), "pub_id").join(winners, "pub_id", "left_semi")
-    in_canon = canon(works, members, scopes).select("pub_id", F.lit(True).alias("is_canon"))
-    decided = scope_matches(works, scopes).filter("scope_type = 'global' and person_id is null").select("pub_id", F.col("mode").alias("scope_mode"), F.col("note").alias("scope_note"))
+    in_canon = _canon(works, members, matched).select("pub_id", F.lit(True).alias("is_canon"))
+    decided = matched.select("pub_id", F.col("mode").alias("scope_mode"), F.col("note").alias("scope_note"))
     status = F.when(F.col("is_canon"), "in_canon").when(F.col("scope_mode") == "exclude", "excluded_manually").when(F.col("is_preprint"), "preprint_only").otherwise("missing_institution_signal")
     columns = ["pub_id", "title", "year", "pub_date", "pub_date_precision", "venue", "doi", "provenance", "group_size", "scope_note", "status"]
     rows = dated(kept, works).join(in_canon, "pub_id", "left").join(decided, "pub_id", "left").withColumn("status", status).select(*columns)
+    rows = settled(rows, "coverage")  # read for the rows and for the person's first and last dates
     kind = F.coalesce(F.get_json_object("payload", "$.crossref.type"), F.get_json_object("payload", "$.openalex.type"))
     outside = works.join(mine.filter("winner is null").select("pub_id"), "pub_id", "left_semi").select(
         "pub_id", "title", "year", F.lit(None).cast("date").alias("pub_date"), F.lit(None).cast("string").alias("pub_date_precision"), "venue", "doi", "provenance",

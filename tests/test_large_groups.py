@@ -77,3 +77,18 @@ def test_best_of_a_group_by_definition(spark):
         want[w.pub_id] = (d.mode, None if d.mode == "keep_separate" else winner[d.decision_id], d.decision_id)
     found = canonical.durable_decisions(canonical.keyed(g.works), g.decisions).collect()
     assert len(found) == N and {x.pub_id: (x.d_mode, x.d_winner, x.decision_id) for x in found} == want
+
+
+@pytest.mark.parametrize(("name", "most"), [("dedup_memberships", 1), ("dedup_families", 2), ("clean_publications", 2), ("canon_publications", 4), ("person_coverage", 7)])
+def test_works_are_keyed_once(spark, name, most):
+    """The works are not derived again, with their keys, for each join that needs them."""
+    g, read = Given(spark), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    g.works = g.works.mapInArrow(counted, g.works.schema)
+    assert CASES[name](g).collect()
+    assert read.value <= most * N
