@@ -290,8 +290,8 @@ def _aligned(x: list[str], y: list[str], most: int) -> bool:
     return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
 
 
-def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    """Edit similarity of two normal forms."""
+def _at_a_glance(a: str, b: str, similarity: float) -> bool | None:
+    """Whether two normal forms are alike, where their lengths or one alignment of the words say so; else None."""
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < similarity * longer:
         return False
@@ -300,13 +300,24 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= (1 - similarity) * longer:
         return True  # replacing those words is enough
-    if _aligned(x, y, int((1 - similarity + 1e-12) * longer)):
-        return True
+    return _aligned(x, y, int((1 - similarity + 1e-12) * longer)) or None
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Two texts without their common beginning and end."""
     first = _common(a, b, False)
     a, b = a[first:], b[first:]
     last = _common(a, b, True)
-    a, b = a[: len(a) - last], b[: len(b) - last]
-    most = int((1 - similarity + 1e-12) * longer)
+    return a[: len(a) - last], b[: len(b) - last]
+
+
+def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Edit similarity of two normal forms."""
+    told = _at_a_glance(a, b, similarity)
+    if told is not None:
+        return told
+    most = int((1 - similarity + 1e-12) * max(len(a), len(b)))
+    a, b = _trimmed(a, b)
     if max(len(a), len(b)) <= most:
         return True
     x, y = a.split(" "), b.split(" ")
@@ -321,6 +332,99 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edits(a, b, most) <= most
 
 
+#: Entries of the table of signs of pairs that are measured side by side; pairs from which, and blocks of 64 signs up to which that pays.
+SIGNS, SIDE_BY_SIDE, LONG = 1 << 19, 12, 32
+
+
+def edits_of_pairs(pairs: list[tuple[str, str]]) -> list[int]:
+    """Levenshtein distances of pairs of non-empty texts, those of about one length side by side."""
+    out, at = [0] * len(pairs), 0
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][1]))
+    while at < len(order):
+        to, signs, most, longest = at, set(), 64 + 5 * len(pairs[order[at]][1]) // 4, 0
+        while to < len(order) and len(pairs[order[to]][1]) <= most:
+            a = pairs[order[to]][0]
+            more, longer = signs.union(a), max(longest, len(a))
+            if to > at and (to + 1 - at) * (longer // 64 + 1) * (len(more) + 1) > SIGNS:
+                break
+            to, signs, longest = to + 1, more, longer
+        some = [pairs[k] for k in order[at:to]]
+        # few or long texts are faster on Python's integers
+        found = _side_by_side(some) if len(some) >= SIDE_BY_SIDE and longest <= 64 * LONG else [edits(a, b) for a, b in some]
+        for k, n in zip(order[at:to], found, strict=True):
+            out[k] = n
+        at = to
+    return out
+
+
+def _side_by_side(pairs: list[tuple[str, str]]) -> list[int]:
+    """Myers' method on blocks of 64 rows (Hyyro): in step t, block w of each pair has column t - w, so what block w - 1 gave out the step before comes in.
+
+    All pairs end in the same column: before a shorter text begins nothing agrees and nothing comes in, which leaves its blocks as they are.
+    """
+    n = len(pairs)
+    rows, columns = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    codes = [np.frombuffer("".join(p[k] for p in pairs).encode("utf-32-le"), np.uint32) for k in (0, 1)]
+    signs = np.unique(codes[0])
+    kinds, blocks, width = len(signs) + 1, (int(rows.max()) + 63) // 64, int(columns.max())
+    owner, inner = np.repeat(np.arange(n), rows), np.arange(len(codes[0])) - np.repeat(np.cumsum(rows) - rows, rows)
+    table = np.zeros(blocks * n * kinds, _U)
+    np.add.at(table, ((inner >> 6) * n + owner) * kinds + np.searchsorted(signs, codes[0]), _U(1) << (inner & 63).astype(_U))
+    sign = np.minimum(np.searchsorted(signs, codes[1]), len(signs) - 1)
+    sign = np.where(signs[sign] == codes[1], sign, len(signs))
+    text = np.full((width, n), len(signs))  # the last column first: a step's signs are neighbours
+    text[np.repeat(np.cumsum(columns), columns) - 1 - np.arange(len(sign)), np.repeat(np.arange(n), columns)] = sign
+    begun = (np.arange(width)[:, None] >= width - columns).astype(_U)  # the row above the first grows by one a column
+    base = np.arange(blocks * n).reshape(blocks, n) * kinds
+    up, down = np.full((blocks, n), ~_U(0)), np.zeros((blocks, n), _U)
+    plus_in, minus_in = np.zeros((blocks + 1, n), _U), np.zeros((blocks + 1, n), _U)
+    one, top = _U(1), _U(63)
+    for t in range(width + blocks - 1):
+        lo, hi = max(0, t - width + 1), min(blocks, t + 1)
+        u, d, m_in = up[lo:hi], down[lo:hi], minus_in[lo:hi]
+        if not lo:
+            plus_in[0] = begun[t]
+        eq = table.take(base[lo:hi] + text[width - 1 - t + lo : width - 1 - t + hi])
+        v = eq | d
+        eq |= m_in
+        h = eq & u
+        h += u
+        h ^= u
+        h |= eq
+        plus = h | u
+        np.invert(plus, out=plus)
+        plus |= d
+        h &= u
+        p_out, m_out = plus >> top, h >> top
+        plus <<= one
+        plus |= plus_in[lo:hi]
+        h <<= one
+        h |= m_in
+        plus_in[lo + 1 : hi + 1], minus_in[lo + 1 : hi + 1] = p_out, m_out
+        np.bitwise_and(plus, v, out=d)
+        plus |= v
+        np.invert(plus, out=plus)
+        np.bitwise_or(h, plus, out=u)
+    left = np.clip(rows - 64 * np.arange(blocks)[:, None], 0, 64)
+    mask = np.where(left == 64, ~_U(0), (one << (left & 63).astype(_U)) - one)
+    return (columns + (np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)).sum(axis=0)).tolist()
+
+
+def all_alike(pairs: list[tuple[str, str]], similarity: float = SIMILARITY) -> list[bool]:
+    """:func:`alike` of pairs of which a glance says nothing."""
+    most = [int((1 - similarity + 1e-12) * max(len(a), len(b))) for a, b in pairs]
+    cut = [_trimmed(a, b) for a, b in pairs]
+    far = [k for k, (a, b) in enumerate(cut) if max(len(a), len(b)) > most[k]]
+    out = [True] * len(pairs)
+    measured = [k for k in far if cut[k][0] and cut[k][1]]
+    for k in far:
+        out[k] = False
+    for k, n in zip(measured, edits_of_pairs([cut[k] for k in measured]), strict=True):
+        out[k] = n <= most[k]
+    return out
+
+
 class Grams:
     """Counts of pairs of neighbouring signs in normal forms: an edit changes at most four of them."""
 
@@ -469,6 +573,20 @@ def _earlier(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(keys: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    """Numbers of which two rows have one alike only if they share a key less than the one at hand: their least keys, and the next ones."""
+    ordered = np.sort(np.where(keys == 0, np.iinfo(np.int64).max, keys), axis=1)
+    out = []
+    for k in range(min(3, ordered.shape[1])):
+        number = np.unique(ordered[:, k], return_inverse=True)[1]
+        out.append(np.where(ordered[:, k] < key, number, -1 - np.arange(len(key))))
+    return out
+
+
+#: Pairs that wait for their distance (they may be joined meanwhile), and of which distances are measured at once.
+WAITING, MEASURED = 20_000, 256
+
+
 def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Of rows (cell, key, sim, sim2, line_hash, keys, size, form, comp, part) sorted by cell: links that join each bucket's groups.
 
@@ -483,20 +601,45 @@ def _verified(batches: Iterator[pa.RecordBatch], distance: int, similarity: floa
         order = np.lexsort((comp, cell))
         group = np.zeros(len(cell), np.int64)  # rows of a bucket that are joined
         group[order[1:]] = np.cumsum((cell[order][1:] != cell[order][:-1]) | (comp[order][1:] != comp[order][:-1]))
+        home = _ranks(keys, key)
         found: list[tuple[int, int]] = []
+        waiting: list[tuple[int, int, int]] = []  # bits apart and places of pairs that only their distance tells
+
+        def joined(i: int, j: int) -> None:
+            found.append((int(ids[i]), int(ids[j])))
+            group[group == group[j]] = group[i]
+
+        def settled() -> None:
+            waiting.sort()
+            while waiting:
+                some = [(i, j) for _, i, j in waiting[:MEASURED] if group[i] != group[j]]
+                for (i, j), yes in zip(some, all_alike([(forms[i].as_py(), forms[j].as_py()) for i, j in some], similarity), strict=True):
+                    if yes and group[i] != group[j]:
+                        joined(i, j)
+                waiting[:] = [w for w in waiting[MEASURED:] if group[w[1]] != group[w[2]]]
+
         part = rows.column("part").fill_null(-1).to_numpy()
         part = np.where(part < 0, -1 - np.arange(len(part)), part)
         for a, b in _near_pairs(cell, sim, distance, group, part if (part >= 0).any() else None):
-            keep = np.bitwise_count(sim[a].view(_U) ^ sim[b].view(_U)) + np.bitwise_count(more[a].view(_U) ^ more[b].view(_U)) <= 2 * distance
+            bits = np.bitwise_count(sim[a].view(_U) ^ sim[b].view(_U)).astype(np.int64) + np.bitwise_count(more[a].view(_U) ^ more[b].view(_U))
+            keep = bits <= 2 * distance
             keep &= np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
-            a, b = a[keep], b[keep]
+            for least in home:
+                keep &= least[a] != least[b]
+            a, b, bits = a[keep], b[keep], bits[keep]
             keep = ~_earlier(keys[a], keys[b], key[a])
-            a, b = a[keep], b[keep]
+            a, b, bits = a[keep], b[keep], bits[keep]
             keep = grams.may_be_alike(a, b, similarity)
-            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                if group[i] != group[j] and alike(forms[i].as_py(), forms[j].as_py(), similarity):
-                    found.append((int(ids[i]), int(ids[j])))
-                    group[group == group[j]] = group[i]
+            for i, j, apart in zip(a[keep].tolist(), b[keep].tolist(), bits[keep].tolist(), strict=True):
+                if group[i] != group[j]:
+                    told = _at_a_glance(forms[i].as_py(), forms[j].as_py(), similarity)
+                    if told:
+                        joined(i, j)
+                    elif told is None:
+                        waiting.append((apart, i, j))
+            if len(waiting) > WAITING:
+                settled()
+        settled()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 

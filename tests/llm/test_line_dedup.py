@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,46 @@ def test_an_alignment_of_words_never_promises_too_much():
             said += 1
             assert k <= most
     assert said > 300
+
+
+def test_distances_of_pairs_side_by_side():
+    rng = random.Random(11)
+    texts = lambda most: "".join(rng.choice("abcé中 ") for _ in range(rng.randint(1, most)))
+    for most in (3, 63, 64, 65, 130, 400):
+        pairs = [(texts(most), texts(most)) for _ in range(40)]
+        pairs += [(a, a[3:] + "b") for a, _ in pairs if len(a) > 3]
+        assert line_dedup.edits_of_pairs(pairs) == [line_dedup.edits(a, b) for a, b in pairs]
+        assert line_dedup._side_by_side(pairs[:1]) == [line_dedup.edits(*sorted(pairs[0], key=len))]
+
+
+def test_distances_are_measured_last(monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line, forms = [word() for _ in range(60)], []
+    for _ in range(150):  # two of them are up to 16 words apart, each is 8 from the first
+        changed = set(rng.sample(range(60), 8))
+        forms.append(" ".join(word() if k in changed else w for k, w in enumerate(line)))
+    forms.append(" ".join(line))
+    n, measured = len(forms), []
+    whole, pairs_of = line_dedup.edits, getattr(line_dedup, "edits_of_pairs", None)
+    monkeypatch.setattr(line_dedup, "edits", lambda a, b, most=None: measured.append(1) or whole(a, b, most))
+    if pairs_of:
+        monkeypatch.setattr(line_dedup, "edits_of_pairs", lambda pairs: measured.extend(pairs) or pairs_of(pairs))
+    same, ids = pa.array([7] * n), pa.array(range(n))
+    rows = {"cell": same, "key": same, "sim": pa.array([0] * n), "sim2": pa.array([0] * n), "line_hash": ids, "keys": pa.array([[7]] * n), "size": pa.array([len(f) for f in forms]), "form": pa.array(forms), "comp": ids, "part": pa.nulls(n, pa.int32())}
+    (links,) = line_dedup._verified(iter([pa.RecordBatch.from_pydict(rows)]), line_dedup.DISTANCE, line_dedup.SIMILARITY)
+    assert links.num_rows == n - 1 and len(measured) < n
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        assert whole(forms[a], forms[b]) <= 0.2 * max(len(forms[a]), len(forms[b]))
+
+
+def test_pairs_of_an_earlier_bucket_are_left_out_by_rank():
+    rng = np.random.default_rng(13)
+    keys = np.where(rng.random((60, 8)) < 0.2, 0, rng.integers(1, 30, (60, 8)))
+    key = np.full(60, 15)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    earlier = line_dedup._earlier(keys[a], keys[b], key[a])
+    found = np.zeros(len(a), bool)
+    for least in line_dedup._ranks(keys, key):
+        found |= (least[a] == least[b]) & (a != b)
+    assert found.any() and (earlier | ~found).all()
