@@ -165,10 +165,10 @@ def test_distances_of_pairs_side_by_side():
 
 def test_distances_are_measured_last(monkeypatch):
     rng = random.Random(12)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
     line, forms = [word() for _ in range(60)], []
-    for _ in range(150):  # two of them are up to 16 words apart, each is 8 from the first
-        changed = set(rng.sample(range(60), 8))
+    for _ in range(150):  # two of them are up to 22 words apart, each is 11 from the last
+        changed = set(rng.sample(range(60), 11))
         forms.append(" ".join(word() if k in changed else w for k, w in enumerate(line)))
     forms.append(" ".join(line))
     n, measured = len(forms), []
@@ -194,3 +194,10 @@ def test_pairs_of_an_earlier_bucket_are_left_out_by_rank():
     for least in line_dedup._ranks(keys, key):
         found |= (least[a] == least[b]) & (a != b)
     assert found.any() and (earlier | ~found).all()
+
+
+def test_a_long_word_that_moved_counts_whole():
+    words = [w * 5 for w in "abcdefghij"]
+    a, b = " ".join(["k" * 30, *words]), " ".join([*words, "q", "k" * 30])
+    assert line_dedup.edits(a, b) > 0.2 * max(len(a), len(b))
+    assert not line_dedup.alike(a, b)
