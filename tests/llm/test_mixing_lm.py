@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,3 +281,21 @@ def test_first_weights_come_from_no_texts(docs, monkeypatch):
     monkeypatch.setattr(lm, "train", kept)
     lm.score_documents(docs)
     assert len(made) == 1 and np.array_equal(made[0].weights, lm._START)
+
+
+def test_decisions_are_read_in_few_bytes():
+    """Traced memory a decision at the peak: time goes into moving decisions about, and this counts it without a clock."""
+    rng = np.random.default_rng(3)
+    vocabulary, n = lm.Vocabulary(np.concatenate(([500, 200], np.sort(rng.integers(2, 50_000, 5000))[::-1]))), 200
+    model = lm.Model(vocabulary, lm.Code(np.ones(257, np.int64)), np.zeros(2 * lm.Layout(vocabulary).size, np.int32))
+    first, ids = np.arange(n + 1) * 100, rng.integers(2, 5002, n * 100).astype(np.int32)
+    ids[first[1:] - 1] = lm.STOP
+    none, guess = np.zeros(len(ids), np.uint8), np.where(rng.random(len(ids)) < 0.3, ids, 0)
+    kept = (first, ids, none, none, np.zeros(0, np.int64), none[:0], np.zeros(0, np.int16), np.zeros(n))
+    sure = np.where(guess > 0, 5, 0)
+    model.bits(kept, guess, sure)
+    tracemalloc.start()
+    model.bits(kept, guess, sure)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * lm.Decisions(kept, vocabulary, model.code, model.layout).size
